@@ -237,12 +237,32 @@ def assumption_table(spark: SparkSession) -> DataFrame:
               "factor double, value double, units string")
 
 
+def sql_literal(v) -> str:
+    """A Python constant as a SQL literal; lists become arrays, tuples of pairs become structs."""
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(sql_literal(x) for x in v) + ")"
+    if isinstance(v, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {sql_literal(x)}" for k, x in v.items()) + ")"
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def constant_map(table: dict) -> Column:
+    """A small fixed dictionary as one constant map; Spark folds it when it plans the query."""
+    return F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in table.items()) + ")")
+
+
 def lookup(key: Column, table: dict, default=None) -> Column:
-    """Small fixed dictionary as a CASE over a key column."""
-    out = None
-    for k, v in table.items():
-        out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))
-    return out.otherwise(default if isinstance(default, Column) else F.lit(default))
+    """Small fixed dictionary read by a key column."""
+    found = F.try_element_at(constant_map(table), key)
+    return F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
 
 
 def warming_of(scenario: Column) -> Column:
@@ -251,14 +271,11 @@ def warming_of(scenario: Column) -> Column:
 
 def sea_level_of(scenario: Column, region: Column) -> Column:
     """Sea-level rise; an unknown region reads the global mean, an unknown scenario is 0."""
-    default = lookup(scenario, SEA_LEVEL["global_mean"], 0.0)
-    out = F
-    for name, table in SEA_LEVEL.items():
-        out = out.when(region == name, lookup(scenario, table, 0.0))
-    return out.otherwise(default)
+    flat = {f"{r}|{k}": v for r, t in SEA_LEVEL.items() for k, v in t.items()}
+    return lookup(F.concat_ws("|", region, scenario), flat, lookup(scenario, SEA_LEVEL["global_mean"], 0.0))
 
 
 def each_scenario(df: DataFrame, scenarios: list[str] | None = None) -> DataFrame:
     """One row per scenario (at most ten), generated in the task without a join."""
     keys = SCENARIOS if scenarios is None else scenarios
-    return df.select("*", F.explode(F.array(*[F.lit(k) for k in keys])).alias("scenario"))
+    return df.select("*", F.explode(F.expr(sql_literal(list(keys)))).alias("scenario"))

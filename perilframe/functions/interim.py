@@ -17,7 +17,7 @@ from .geo import haversine_km, sea_level_region
 
 
 def _anchor_array(rows: list[tuple], names: list[str]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+    return F.expr(A.sql_literal([dict(zip(names, row)) for row in rows]))
 
 
 def wind_anchor_mean(lat: Column, lon: Column) -> Column:

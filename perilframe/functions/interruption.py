@@ -42,12 +42,7 @@ def _averaged(shape: list[float], timing: list[float]) -> tuple[list[float], lis
 
 
 def _by_region(region: Column, tables: dict[str, list[float]]) -> Column:
-    literal = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    out = F
-    for name, values in tables.items():
-        if name != "global_mean":
-            out = out.when(region == name, literal(values))
-    return out.otherwise(literal(tables["global_mean"]))
+    return A.lookup(region, tables, F.expr(A.sql_literal(tables["global_mean"])))
 
 
 def _walk(days: Column, year_sum: Column, cum_of, month_of) -> Column:

@@ -24,15 +24,16 @@ def cell_centre(df: DataFrame, deg: float = A.GRID_DEG) -> DataFrame:
     return df.withColumn("lat", F.col("iy") * deg).withColumn("lon", F.col("ix") * deg)
 
 
-def centroid_intensity(intensity: DataFrame, catalog: DataFrame, centroids: DataFrame,
-                       keys: list[str] = ["source"]) -> DataFrame:
+def centroid_intensity(intensity: DataFrame, catalog: DataFrame, centroids: DataFrame) -> DataFrame:
     """Return-period intensity per centroid and catalog, dense over centroids, flat rare tail."""
+    keys = ["source"]
     rows = (intensity.join(catalog.select(*keys, "event_id", "freq"), [*keys, "event_id"])
             .withColumn("loss", F.coalesce(finite_or_null(F.col("intensity")), F.lit(0.0))))
     points = exceedance.loss_points(rows, [*keys, "centroid_id"])
     ladders = exceedance.interpolated_ladder(points, [*keys, "centroid_id"])
-    layers = catalog.select(*keys).distinct()
-    universe = _each_layer(centroids, layers, keys)
+    every = F.explode(F.array(*[F.lit(x) for x in A.SOURCES])).alias("source")
+    universe = (centroids.select(every, "centroid_id", "lat", "lon")
+                .join(catalog.select("source").distinct(), "source", "left_semi"))
     dense = exceedance.dense_ladder(universe, ladders, [*keys, "centroid_id"], A.RETURN_PERIODS)
     return dense.select(*keys, "centroid_id", "lat", "lon",
                         *[F.get("ladder", F.lit(i)).alias(c) for i, c in enumerate(A.V_COLS)])
@@ -225,12 +226,3 @@ def pick_members(catalog: DataFrame, scenario: str) -> DataFrame:
     keep = F.when(F.col("_dated") == 0, F.lit(True)).otherwise(F.abs(F.col("year") - target) == F.col("_gap"))
     near = cand.join(F.broadcast(dated), "_rank").where(keep)
     return near.orderBy("name").limit(A.RIVER_MAX_MODELS).select("name", "climate_scenario", "year")
-
-
-def _each_layer(centroids: DataFrame, layers: DataFrame, keys: list[str]) -> DataFrame:
-    """Centroids once per catalog layer. Layers are scenario-recipe sources, so at most a few
-    dozen; they ride along as one collected array on a single broadcast row."""
-    one = layers.agg(F.collect_set(F.struct(*keys)).alias("_layers")).withColumn("_k", F.lit(1))
-    rows = centroids.select("centroid_id", "lat", "lon", F.lit(1).alias("_k")).join(F.broadcast(one), "_k")
-    return rows.select("centroid_id", "lat", "lon", F.explode("_layers").alias("_l")).select(
-        "centroid_id", "lat", "lon", *[F.col(f"_l.{k}").alias(k) for k in keys])

@@ -65,14 +65,14 @@ def _reach_cells(points: DataFrame, deg: float, reach_km: float) -> DataFrame:
 def _best(pairs: DataFrame, by: list[str]) -> DataFrame:
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("_clat"), F.col("_clon"))
     hit = F.struct(F.round(km, 6).alias("km"), F.col("_cid").alias("cid"))
-    return pairs.groupBy(*by, "lat", "lon").agg(F.min(hit).alias("_hit"))
+    return pairs.groupBy(*by, "lat", "lon").agg(F.min(F.when(F.col("_cid").isNotNull(), hit)).alias("_hit"))
 
 
 def _ring(points: DataFrame, cen: DataFrame, by: list[str], deg: float) -> DataFrame:
-    """Nearest centroid within the nine cells around each location."""
+    """Nearest centroid within the nine cells around each location, null when they are empty."""
     y, x = F.floor(F.col("lat") / deg), F.floor(F.col("lon") / deg)
     probe = _explode_cells(points, deg, y - 1, y + 1, x - 1, x + 1)
-    return _best(probe.join(cen, [*by, "_y", "_x"]), by)
+    return _best(probe.join(cen, [*by, "_y", "_x"], "left"), by)
 
 
 def _search(points: DataFrame, cen: DataFrame, by: list[str], deg: float, reach_km: float) -> DataFrame:
@@ -117,7 +117,7 @@ def nearest(points: DataFrame, centroids: DataFrame, *, lat: str = "latitude", l
     # nothing outside the ring is nearer than the distance to the next meridian but one
     settled_km = F.lit(EARTH_KM) * F.asin(F.cos(F.radians(F.least(F.abs(F.col("lat")) + 2 * deg, F.lit(90.0))))
                                           * math.sin(math.radians(deg)))
-    ring = loc.join(_ring(loc, cen, keys, deg), [*keys, "lat", "lon"], "left")
+    ring = _ring(loc, cen, keys, deg)
     done = F.coalesce(F.col("_hit.km") <= settled_km, F.lit(False))
     open_loc = ring.where(~done).select(*keys, "lat", "lon")
     found = ring.where(done).unionByName(_search(open_loc, cen, keys, deg, max_km))
