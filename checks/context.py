@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ def impact(spark: SparkSession, sf: str) -> Impact:
 
 
 def hazards(spark: SparkSession, sf: str, scenarios: list[str] = S2) -> DataFrame:
-    return scoring.site_hazards(S.site_knobs(spark, sf), S.hazard_grid(spark, sf, scenarios), scenarios, DEG,
-                                S.grid_layers(scenarios))
+    """Sites with their hazards: one row per site and scenario, kept because every view reads it."""
+    df = scoring.site_hazards(S.site_knobs(spark, sf), S.hazard_grid(spark, sf, scenarios), scenarios, DEG,
+                              S.grid_layers(scenarios))
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def scored(spark: SparkSession, sf: str, scenarios: list[str] = S2) -> DataFrame:

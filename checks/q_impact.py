@@ -204,7 +204,7 @@ SELECT *, CASE measure WHEN 'reroof' THEN wmet/wind_mult WHEN 'openings' THEN wi
  keys*pk AS cost FROM cpairs1 WHERE reason IS NULL""",
         "cafter": _eval_sql(_SC, "cpairs"),
         "cproj": f"""
-SELECT p.site_key, p.name, p.measure, round(b.acute-coalesce(a.e,0),2) AS averted, p.cost, CAST(least(p.life,25) AS INTEGER) AS annuity_years,
+SELECT p.site_key, p.name, p.measure, b.acute-coalesce(a.e,0) AS averted, p.cost, CAST(least(p.life,25) AS INTEGER) AS annuity_years,
  (b.acute-coalesce(a.e,0))*(1-power({d(1.03)},-least(p.life,25)))/{d(.03)}/p.cost AS bcr0
 FROM cpairs p JOIN base_e b USING (site_key) LEFT JOIN cafter a ON a.measure=p.measure AND a.site_key=p.site_key
 WHERE p.modelled AND p.cost>0 AND b.acute-coalesce(a.e,0)>1e-6"""}
@@ -224,12 +224,12 @@ def catalog_averted(spark, sf):
     return im.measure_averted(pairs, _SC).where(F.col("averted") > 1e-6)
 
 
-@register("catalog_projects", query(f"SELECT site_key, measure, {rnd('averted', 1)} AS averted, {rnd('cost', 2)} AS cost, annuity_years, {rnd('bcr0', 4)} AS bcr FROM cproj", _cat))
+@register("catalog_projects", query(f"SELECT site_key, measure, {rnd('averted', 2)} AS averted, {rnd('cost', 2)} AS cost, annuity_years, {rnd('bcr0', 4)} AS bcr FROM cproj", _cat))
 def catalog_projects(spark, sf):
     years = F.least("life", F.lit(A.HORIZON_YEARS))
     factors = {int(y): annuity(y, A.DISCOUNT_RATE) for y in (10, 20, 25)}
     av = catalog_averted(spark, sf).where(F.col("modelled") & (F.col("cost") > 0.0))
-    return av.select("site_key", "measure", r("averted", 1).alias("averted"), r("cost").alias("cost"), years.alias("annuity_years"),
+    return av.select("site_key", "measure", r("averted", 2).alias("averted"), r("cost").alias("cost"), years.alias("annuity_years"),
                      r(F.col("averted") * A.lookup(years, factors, 0.0) / F.col("cost"), 4).alias("bcr"))
 
 

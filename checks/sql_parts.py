@@ -161,7 +161,7 @@ SELECT {SCN}[l_orderkey%10+1] AS scenario, 'm'||((l_orderkey//10)%2) AS member,
  max(greatest(l_quantity/8-{d(2.5)},0)) AS depth
 FROM lineitem GROUP BY 1,2,3,4 HAVING max(greatest(l_quantity/8-{d(2.5)},0))>0"""
 CTE["raster"] = f"""
-SELECT p_partkey AS centroid_id, CASE WHEN p_partkey%11<>0 THEN p_size/{d(5000.0)} END AS bp,
+SELECT p_partkey AS centroid_id, CASE WHEN p_partkey%11<>0 THEN p_size/{d(7000.0)} END AS bp,
  CASE WHEN p_partkey%5<>0 THEN p_size/{d(4.0)} END AS cfl FROM part"""
 CTE["recipe"] = f"SELECT * FROM {values(A.recipe_rows())} t(scenario, source, weight)"
 CTE["weights"] = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,9 @@ class Impact:
 
     @cached_property
     def site_map(self) -> DataFrame:
-        """site_key to wind centroid, covered sites only."""
-        return nearest(self.sites.select("site_key", "latitude", "longitude"), self.centroids, deg=self.deg)
+        """site_key to wind centroid; one row per site, kept because every peril reads it."""
+        near = nearest(self.sites.select("site_key", "latitude", "longitude"), self.centroids, deg=self.deg)
+        return near.persist(StorageLevel.MEMORY_AND_DISK)
 
     def _map(self) -> DataFrame:
         return self.site_map.where("covered").select("site_key", "centroid_id")
@@ -282,8 +284,10 @@ class Impact:
 
         `flood_cap_max`, when present, lowers the site's own flood cap.
         """
-        rows = self.compact(scenario).join(self._knobs(), "site_key").join(pairs, "site_key")
-        if "flood_cap_max" in pairs.columns:
+        knobs = [c for c in ("wind_dmg_mult", "fb_bonus", "cf_depth_red", "fire_mult", "flood_cap_max") if c in pairs.columns]
+        rows = (self.compact(scenario).join(self._knobs(), "site_key")
+                .join(pairs.select("site_key", "measure", *knobs), "site_key"))
+        if "flood_cap_max" in knobs:
             rows = rows.withColumn("flood_cap", F.least("flood_cap", "flood_cap_max"))
         e = rows.select("measure", "site_key", self.knob_ead(rows, scenario).alias("e"))
         after = e.groupBy("measure", "site_key").agg(F.sum("e").alias("_after"))

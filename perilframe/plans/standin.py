@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import assumptions as A
 from ..functions import profile
+from ..operators.keyed import keep_one
 
 NO_SURGE_SOURCE = "rcp26_2060"
 
@@ -144,7 +145,7 @@ def member_of(event: Column) -> Column:
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
-        k.alias("centroid_id"), F.when(k % 11 != 0, F.col("p_size") / 5000.0).alias("bp"),
+        k.alias("centroid_id"), F.when(k % 11 != 0, F.col("p_size") / 7000.0).alias("bp"),
         F.when(k % 5 != 0, F.col("p_size") / 4.0).alias("cfl"))
 
 
@@ -162,7 +163,8 @@ def grid_layers(scenarios: list[str] | None = None) -> dict[str, list[str]]:
 
 def hazard_grid(spark: SparkSession, sf_dir: str, scenarios: list[str] | None = None) -> DataFrame:
     """lat, lon, scenario, hazard, v10..v500. Rain has the present scenario only."""
-    cells = centroids(spark, sf_dir).withColumn("size", F.col("p_size").cast("double"))
+    cells = keep_one(centroids(spark, sf_dir), ["lat", "lon"], "centroid_id")
+    cells = cells.withColumn("size", F.col("p_size").cast("double"))
     rows = A.each_scenario(cells, scenarios or A.SCENARIOS)
     rows = rows.withColumn("hazard", F.explode(F.expr(A.sql_literal(A.HAZARDS))))
     h, k, size = F.col("hazard"), F.col("centroid_id"), F.col("size")
