@@ -124,7 +124,7 @@ def trust_coverage(spark, sf):
 
 
 @register("dominant_peril", query(f"""
-SELECT site_key, scenario, CASE WHEN greatest({', '.join(f'ead_{p}' for p in ACUTE)})>0 THEN CASE {' '.join(f"WHEN ead_{p}>=greatest({', '.join(f'ead_{q}' for q in ACUTE)}) THEN '{p}'" for p in ACUTE)} END END AS dominant, {_HB} AS heat_rating, band FROM sc""", X2))
+SELECT site_key, scenario, CASE WHEN greatest({', '.join(f'ead_{p}' for p in ACUTE)})>0 THEN CASE {' '.join(f"WHEN ead_{p}>=greatest({', '.join(f'ead_{q}' for q in ACUTE)})*(1-1e-12) THEN '{p}'" for p in ACUTE)} END END AS dominant, {_HB} AS heat_rating, band FROM sc""", X2))
 def dominant_peril(spark, sf):
     top = F.greatest(*[F.col(f"ead_{p}") for p in ACUTE])
     return scored(spark, sf).select("site_key", "scenario", F.when(top > 0.0, scoring.dominant()).alias("dominant"), F.col("heat_ind.band").alias("heat_rating"), "band")
@@ -161,8 +161,8 @@ def field_domain(spark, sf):
 # --- finance ----------------------------------------------------------------------------------
 
 _rps = A.RETURN_PERIODS
-_port = {"sl": f"SELECT scenario, site_key, rp, sum(loss)*(1+any_value(gop)/any_value(asset_value_usd)) AS v FROM lrp JOIN knobs USING (site_key) GROUP BY 1,2,3",
-         "var": f"SELECT scenario, rp, sqrt(greatest({d(.7)}*sum(v*v)+{d(.3)}*power(sum(v),2),0)) AS v FROM sl GROUP BY 1,2",
+_port = {"sitev": f"SELECT scenario, site_key, rp, sum(loss)*(1+any_value(gop)/any_value(asset_value_usd)) AS v FROM lrp JOIN knobs USING (site_key) GROUP BY 1,2,3",
+         "var": f"SELECT scenario, rp, sqrt(greatest({d(.7)}*sum(v*v)+{d(.3)}*power(sum(v),2),0)) AS v FROM sitev GROUP BY 1,2",
          "port": f"""SELECT scenario, count(*) AS sites, sum(asset_value_usd) AS value, sum(revenue_usd) AS revenue, sum(direct_ead) AS direct_ead, sum(bi_ead) AS bi_ead, sum(heat_cost) AS heat_cost, sum(total_aal) AS total_aal FROM fin GROUP BY 1"""}
 XP = {**X2, **_port}
 
@@ -236,13 +236,13 @@ _mx = f"greatest({', '.join(_costs)})"
 
 
 @register("decision_rows", query(f"""
-SELECT f.scenario, f.site_key, CASE {' '.join(f"WHEN {c}>={_mx} THEN '{p}'" for c, p in zip(_costs, [*ACUTE, 'heat']))} END AS dominant, {rnd(_mx, 2)} AS dominant_cost, {rnd('l.l', 2)} AS damage_100,
- {rnd('greatest(dep,0)', 5)} AS depth_100, {rnd('365*l.l/asset_value_usd', 4)} AS downtime_100
+SELECT f.scenario, f.site_key, CASE {' '.join(f"WHEN {c}>={_mx}*(1-1e-12) THEN '{p}'" for c, p in zip(_costs, [*ACUTE, 'heat']))} END AS dominant, {rnd(_mx, 2)} AS dominant_cost, {rnd('l.l', 2)} AS damage_100,
+ {rnd('greatest(dep,0)', 5)} AS depth_100, {rnd('365*l.l/asset_value_usd', 3)} AS downtime_100
 FROM fin f JOIN (SELECT scenario, site_key, sum(loss) AS l FROM lrp WHERE rp=100 GROUP BY 1,2) l USING (scenario, site_key)
 JOIN (SELECT scenario, site_key, max(CASE peril WHEN 'prain' THEN greatest(v100-75,0)/1000*{d(.55)} WHEN 'tc' THEN 0 ELSE v100 END) AS dep FROM pv GROUP BY 1,2) USING (scenario, site_key)""".replace("f.scenario, f.site_key", "scenario, site_key"), X2))
 def decision_rows(spark, sf):
     df = fo.decision_rows(fin(spark, sf)).select("scenario", "site_key", "dominant", "dominant_cost", "damage_100", "depth_100", "downtime_100")
-    return rounded(df, {"dominant_cost": 2, "damage_100": 2, "depth_100": 5, "downtime_100": 4})
+    return rounded(df, {"dominant_cost": 2, "damage_100": 2, "depth_100": 5, "downtime_100": 3})
 
 
 _pv = {x: f"max(CASE WHEN rp={x} THEN v END)" for x in _rps}

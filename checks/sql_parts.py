@@ -80,8 +80,8 @@ SELECT c_custkey AS site_key, c_name AS name, c_mktsegment AS brand,
  {pick('c_nationkey', 3, ['USA', 'PRI', 'VIR'])} AS country,
  CASE WHEN c_custkey%50=49 THEN {d(19.64)} ELSE ((c_custkey*37)%1300+2400)/{d(100.0)} END AS latitude,
  CASE WHEN c_custkey%50=49 THEN {d(-155.99)} ELSE ((c_custkey*53)%2600-10000)/{d(100.0)} END AS longitude,
- (c_acctbal+1000)*10000 AS asset_value_usd,
- CASE WHEN c_custkey%6=0 THEN (c_acctbal+1000)*10000*{d(0.4)} END AS annual_revenue_usd,
+ (c_acctbal+1000)*10000/3 AS asset_value_usd,
+ CASE WHEN c_custkey%6=0 THEN (c_acctbal+1000)*10000/3*{d(0.4)} END AS annual_revenue_usd,
  {pick('c_custkey', 4, ['frame', 'masonry', 'engineered', None])} AS construction,
  CAST((c_custkey*7)%65+1960 AS DOUBLE) AS year_built, c_custkey%5=0 AS defended,
  {pick('c_custkey', 6, ['shingle', 'metal', 'tile', 'membrane', None, None])} AS roof_type,
@@ -97,8 +97,8 @@ SELECT c_custkey AS site_key, c_name AS name, c_mktsegment AS brand,
  {pick('c_custkey', 3, ['HOA', 'Operating company', None])} AS named_insured,
  CASE WHEN c_custkey%8<2 THEN 'P'||(c_custkey//8) END AS site_id,
  CASE WHEN c_custkey%8<2 THEN 'Place '||(c_custkey//8) END AS site_name,
- CASE WHEN c_custkey%4=0 THEN (c_acctbal+1000)*10000*{d(0.004)} END AS premium_annual_usd,
- CASE WHEN c_custkey%5=0 THEN (c_acctbal+1000)*10000*{d(0.05)} END AS bi_ee_usd,
+ CASE WHEN c_custkey%4=0 THEN (c_acctbal+1000)*10000/3*{d(0.004)} END AS premium_annual_usd,
+ CASE WHEN c_custkey%5=0 THEN (c_acctbal+1000)*10000/3*{d(0.05)} END AS bi_ee_usd,
  CASE WHEN c_custkey%9=1 THEN {d(5000.0)} END AS mitigation_annual_usd,
  CASE WHEN c_custkey%10=4 THEN {d(1.0)} END AS timeshare_share,
  {pick('c_custkey', 8, ['interface', 'intermix'])} AS wui_class,
@@ -153,8 +153,8 @@ FROM lineitem GROUP BY 1,2,3"""
 CTE["surge"] = f"""
 SELECT {SRC}[l_orderkey%10+1] AS source, l_orderkey AS event_id, l_partkey AS centroid_id, max(greatest(l_quantity/10-1,0)) AS depth
 FROM lineitem GROUP BY 1,2,3 HAVING max(greatest(l_quantity/10-1,0))>0 AND {SRC}[l_orderkey%10+1]<>'rcp26_2060'"""
-CTE["rain"] = """
-SELECT l_orderkey AS event_id, l_partkey AS centroid_id, max(l_quantity*25) AS mm
+CTE["rain"] = f"""
+SELECT l_orderkey AS event_id, l_partkey AS centroid_id, max(l_quantity*{d(24.3271)}) AS mm
 FROM lineitem WHERE l_orderkey%10=0 GROUP BY 1,2"""
 CTE["river"] = f"""
 SELECT {SCN}[l_orderkey%10+1] AS scenario, 'm'||((l_orderkey//10)%2) AS member, l_orderkey AS event_id, l_partkey AS centroid_id,
@@ -383,14 +383,15 @@ def query(main: str, extra: dict[str, str] | None = None) -> str:
     """A complete statement: the CTEs a query needs, in dependency order, and its body."""
     pool = CTE | (extra or {})
     order: list[str] = []
+    open_names: set[str] = set()
 
     def visit(text: str) -> None:
-        for word in dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", re.sub(r"'[^']*'", "", text))):
-            if word in pool and word not in order:
-                if re.search(rf"(?:FROM|JOIN|,)\s*\(?\s*{word}\b", text):
-                    visit(pool[word])
-                    if word not in order:
-                        order.append(word)
+        bare = re.sub(r"'[^']*'", "", text)
+        for word in dict.fromkeys(re.findall(r"(?=(?:FROM|JOIN|,)\s*\(?\s*([A-Za-z_][A-Za-z_0-9]*)\b(?![.(]))", bare)):
+            if word in pool and word not in order and word not in open_names:
+                open_names.add(word)
+                visit(pool[word])
+                order.append(word)
 
     visit(main)
     if not order:

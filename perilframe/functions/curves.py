@@ -18,15 +18,15 @@ def wind_damage(v: Column, v_half: Column | float = A.V_HALF) -> Column:
     """Cubic wind damage ratio t^3 / (1 + t^3) above the threshold speed."""
     half = v_half if isinstance(v_half, Column) else F.lit(v_half)
     t = F.greatest((v - A.V_THRESH) / (half - A.V_THRESH), F.lit(0.0))
-    cube = t * t * t
-    return cube / (1.0 + cube)
+    # 1 - 1 / (1 + t^3) names t once, which keeps the generated code of wide rows small
+    return F.lit(1.0) - F.lit(1.0) / (F.pow(t, F.lit(3.0)) + 1.0)
 
 
 def flood_damage(depth: Column, freeboard: Column, cap: Column | float = A.FLOOD_CAP) -> Column:
     """Concave stage damage above freeboard, capped."""
     top = cap if isinstance(cap, Column) else F.lit(cap)
-    e = depth - freeboard
-    return F.when(e <= 0.0, F.lit(0.0)).otherwise(F.least(top, 1.0 - F.exp(e * -0.6)))
+    over = F.greatest(depth - freeboard, F.lit(0.0))
+    return F.least(top, F.lit(1.0) - F.exp(over * -0.6))
 
 
 def ponding_depth(mm: Column) -> Column:

@@ -201,11 +201,11 @@ def export_source() -> Column:
 
 
 def dominant(prefix: str = "ead_", perils: list[str] = A.ACUTE) -> Column:
-    """Peril with the largest value; the first in peril order on ties."""
+    """Peril with the largest value; the first in peril order on ties, up to rounding noise."""
     top = F.greatest(*[F.col(prefix + p) for p in perils])
     out = F
     for p in perils:
-        out = out.when(F.col(prefix + p) == top, F.lit(p))
+        out = out.when(F.col(prefix + p) >= top - F.abs(top) * 1e-12, F.lit(p))
     return out.otherwise(None)
 
 

@@ -34,7 +34,7 @@ def _pick(key: Column, modulus: int, values: list) -> Column:
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    value = (F.col("c_acctbal") + 1000.0) * 10000.0
+    value = (F.col("c_acctbal") + 1000.0) * 10000.0 / 3.0
     far = k % 50 == 49
     when = lambda cond, x: F.when(cond, x)
     return c.select(
@@ -127,7 +127,7 @@ def surge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Present-day rainfall events: source, event_id, centroid_id, mm."""
-    df = _pairs(spark, sf_dir, F.col("l_quantity") * 25.0, "mm", {"source": source_of(F.col("event_id"))})
+    df = _pairs(spark, sf_dir, F.col("l_quantity") * 24.3271, "mm", {"source": source_of(F.col("event_id"))})
     return df.where(F.col("source") == "present")
 
 
