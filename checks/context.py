@@ -55,7 +55,8 @@ def insured(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return impact(spark, sf).event_site_loss(scenarios=S2)
+    """The event table, kept because retention, interruption and the demand shock all read it."""
+    return impact(spark, sf).event_site_loss(scenarios=S2).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def location_ladders(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,4 +66,4 @@ def location_ladders(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.explode(F.expr(A.sql_literal([{"scenario": s, "peril": p} for s in S2 for p in ("rflood", "prain")]))).alias("_c")
     covered = im.site_map.where("covered").select("site_key", cells).select("site_key", "_c.*")
     pack = exceedance.dense_ladder(covered, im.ladders(("rflood", "prain")), ["scenario", "site_key", "peril"])
-    return tcor.prefer_pack(interim, pack)
+    return tcor.prefer_pack(interim, pack).persist(StorageLevel.MEMORY_AND_DISK)

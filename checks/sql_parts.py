@@ -80,8 +80,8 @@ SELECT c_custkey AS site_key, c_name AS name, c_mktsegment AS brand,
  {pick('c_nationkey', 3, ['USA', 'PRI', 'VIR'])} AS country,
  CASE WHEN c_custkey%50=49 THEN {d(19.64)} ELSE ((c_custkey*37)%1300+2400)/{d(100.0)} END AS latitude,
  CASE WHEN c_custkey%50=49 THEN {d(-155.99)} ELSE ((c_custkey*53)%2600-10000)/{d(100.0)} END AS longitude,
- (c_acctbal+1000)*10000/3 AS asset_value_usd,
- CASE WHEN c_custkey%6=0 THEN (c_acctbal+1000)*10000/3*{d(0.4)} END AS annual_revenue_usd,
+ (c_acctbal+1000)*{d(3333.3391)} AS asset_value_usd,
+ CASE WHEN c_custkey%6=0 THEN (c_acctbal+1000)*{d(3333.3391)}*{d(0.4)} END AS annual_revenue_usd,
  {pick('c_custkey', 4, ['frame', 'masonry', 'engineered', None])} AS construction,
  CAST((c_custkey*7)%65+1960 AS DOUBLE) AS year_built, c_custkey%5=0 AS defended,
  {pick('c_custkey', 6, ['shingle', 'metal', 'tile', 'membrane', None, None])} AS roof_type,
@@ -97,8 +97,8 @@ SELECT c_custkey AS site_key, c_name AS name, c_mktsegment AS brand,
  {pick('c_custkey', 3, ['HOA', 'Operating company', None])} AS named_insured,
  CASE WHEN c_custkey%8<2 THEN 'P'||(c_custkey//8) END AS site_id,
  CASE WHEN c_custkey%8<2 THEN 'Place '||(c_custkey//8) END AS site_name,
- CASE WHEN c_custkey%4=0 THEN (c_acctbal+1000)*10000/3*{d(0.004)} END AS premium_annual_usd,
- CASE WHEN c_custkey%5=0 THEN (c_acctbal+1000)*10000/3*{d(0.05)} END AS bi_ee_usd,
+ CASE WHEN c_custkey%4=0 THEN (c_acctbal+1000)*{d(3333.3391)}*{d(0.004)} END AS premium_annual_usd,
+ CASE WHEN c_custkey%5=0 THEN (c_acctbal+1000)*{d(3333.3391)}*{d(0.05)} END AS bi_ee_usd,
  CASE WHEN c_custkey%9=1 THEN {d(5000.0)} END AS mitigation_annual_usd,
  CASE WHEN c_custkey%10=4 THEN {d(1.0)} END AS timeshare_share,
  {pick('c_custkey', 8, ['interface', 'intermix'])} AS wui_class,

@@ -34,7 +34,7 @@ def _pick(key: Column, modulus: int, values: list) -> Column:
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    value = (F.col("c_acctbal") + 1000.0) * 10000.0 / 3.0
+    value = (F.col("c_acctbal") + 1000.0) * 3333.3391
     far = k % 50 == 49
     when = lambda cond, x: F.when(cond, x)
     return c.select(
