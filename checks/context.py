@@ -46,7 +46,7 @@ hazards = scored = fin  # the finance frame carries every hazard and scoring col
 
 
 def measures(spark: SparkSession, sf: str, scenarios: list[str] = S2) -> DataFrame:
-    return adaptation.measure_rows(fin(spark, sf, scenarios))
+    return adaptation.measure_rows(fin(spark, sf, scenarios)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def insured(spark: SparkSession, sf: str) -> DataFrame:

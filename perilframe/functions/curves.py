@@ -90,9 +90,18 @@ def trapezoid(by_rp: dict[int, Column], f_min: float = 0.0) -> Column:
 
 
 def damage_integral(vec: dict[int, Column], damage: Rung) -> Column:
-    """Expected annual damage fraction of an intensity vector, frequent events included."""
-    points = vec | sub_ten(vec[10], vec[25])
-    return trapezoid({rp: damage(v) for rp, v in points.items()})
+    """Expected annual damage fraction of an intensity vector, frequent events included.
+
+    The curve is applied to the array of points, so it appears once in the plan and in the
+    generated code whatever the number of return periods.
+    """
+    points = sub_ten(vec[10], vec[25]) | vec
+    f = [1.0 / rp for rp in sorted(points)]
+    weights = [0.5 * (f[max(i - 1, 0)] - f[min(i + 1, len(f) - 1)]) for i in range(len(f))]
+    weights[-1] += f[-1]
+    values = F.array(*[points[rp] for rp in sorted(points)])
+    parts = F.zip_with(values, F.expr(A.sql_literal(weights)), lambda v, w: damage(v) * w)
+    return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
 
 
 # --- loss ladders: array<double>, one entry per LADDER_RPS rung -------------------------------
