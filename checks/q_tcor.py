@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from perilframe import assumptions as A
-from perilframe.functions import profile, text
+from perilframe.functions import profile
 from perilframe.operators import claims as cl
 from perilframe.operators import matching, tcor
 from perilframe.plans import standin as S
@@ -114,11 +115,13 @@ class Model:
         self.groups = tcor.event_retained(self.events, self.sites)
         self.storm = tcor.storm_by_site(self.events, self.groups, self.sites)
         self.location = tcor.location_retained(self.ladders)
-        self.prop = tcor.site_property(self.storm, self.location, self.sites)
+        # one row per site and scenario each, read by premium, total and calibration
+        self.prop = tcor.site_property(self.storm, self.location, self.sites).persist(StorageLevel.MEMORY_AND_DISK)
 
     def interruption(self):
-        return tcor.site_interruption([tcor.interruption_events(self.events, self.sites),
-                                       tcor.interruption_ladders(self.ladders, self.sites, ["rflood", "prain", "wfire"])])
+        parts = [tcor.interruption_events(self.events, self.sites),
+                 tcor.interruption_ladders(self.ladders, self.sites, ["rflood", "prain", "wfire"])]
+        return tcor.site_interruption(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
     def total(self):
         inter = self.interruption()
