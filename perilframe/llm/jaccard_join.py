@@ -158,18 +158,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     links = near.where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     first = components(links)
 
-    # Regions that the pivots have not joined: rings around the pivot, tau wide.
-    placed = regions.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    open_ = (placed.withColumn("low", F.min("comp").over(by)).withColumn("high", F.max("comp").over(by)).where("low <> high")
-             .select("key", "id", "pivot", "comp"))
+    # Regions whose other members the pivot has not joined: rings around the pivot, tau wide.
+    placed = (regions.where("id <> pivot").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+              .select("key", "id", "pivot", "comp"))
     # A ring index is exact in whole numbers: d / tau = den (union - common) / (union (den - num)).
     union = F.col("n") + F.col("pn") - F.col("common")
     ring = near.select("id", "pivot", F.floor((union - F.col("common")) * den / (union * (den - num))).alias("ring"))
-    ringed = open_.join(ring, ["id", "pivot"], "left").withColumn("ring", F.coalesce("ring", F.lit(0).cast("long")))
-    cells = ringed.select("key", "id", "comp", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
-    of_cell = Window.partitionBy("key", "ring")
-    blocks = (cells.withColumn("size", F.count(F.lit(1)).over(of_cell)).withColumn("lo", F.min("comp").over(of_cell)).withColumn("hi", F.max("comp").over(of_cell))
-              .where("lo <> hi").withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb"))))
+    ringed = placed.join(ring, ["id", "pivot"])
+    cells = cut(ringed.select("key", "id", "comp", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring")))
+    many = (cells.groupBy("key", "ring").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("lo <> hi"))
+    # Cells of the same members are joined once.
+    once = many.groupBy("size", "who").agg(F.min(F.struct("key", "ring")).alias("cell")).select("cell.*", "size")
+    blocks = cells.join(once, ["key", "ring"]).withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")))
     tasks = blocks.select("key", "ring", "id", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
     tasks = tasks.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     found = (tasks.join(sets, "id").groupBy("key", "ring", "p", "q").applyInPandas(forest(num, den), "a long, b long"))
