@@ -10,12 +10,13 @@ Jaccard distance d = 1 - similarity is a metric, and tau = 1 - threshold is the
    of shingles in which linked sets can differ: linked sets coincide in m - r classes or more. Sets that coincide in a
    class form a region, whose pivot is its smallest id. Empty classes make no region, unless a set has m - r of them:
    then a partner that coincides there only has as many, and both enter the regions of their empty classes.
-3. Pivot distances. Each member is compared with its regions' pivots, once for a pair. Those within tau of a pivot are
-   linked through it and need no comparison with each other.
-4. Windows. Where a region still has more than one component, its members are cut into rings by distance to the pivot,
-   tau wide. By the triangle inequality linked members lie in one ring or adjacent ones, so each is replicated to the
-   next ring. Rings of many members are joined recursively, block by block, and each task joins one pair of blocks exactly
-   and returns a spanning forest of the links.
+3. Pivot distances. Each member is compared with its regions' pivots, once for a pair. Parity bitmaps of the sets come
+   first: the bits in which two differ bound the symmetric difference from below, which settles most pairs that share a
+   class by chance. Members within tau of a pivot are linked through it and need no comparison with each other.
+4. Windows. Where a region's other members are still of more than one component, they are cut into those within 2 tau
+   of the pivot and those beyond tau. By the triangle inequality linked members are both in one of these cells; members
+   between tau and 2 tau, the boundary, are replicated into both. Cells are joined recursively, block by block: each
+   task joins one pair of blocks exactly and returns a spanning forest of the links.
 
 Copies of a set take part as one. No step holds a region in one task or sends ids to the driver.
 """
@@ -33,7 +34,7 @@ from perilframe.llm.common import components, cut, map_batches, mix, shingles, t
 
 SHELL = 1.6  # ratio of the sizes at which shells end
 SLACK = 4  # classes beyond the largest difference of linked sets
-BLOCK = 1024  # members of a block of a ring
+BLOCK = 1024  # members of a block of a cell
 
 
 def shell_ends(largest: int) -> list[int]:
@@ -79,13 +80,53 @@ def profile(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return map_batches(docs, run, "id long, n long, digest binary, keys array<long>")
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of about two bits a shingle; each shingle flips one. Wider bitmaps fold to narrower ones by xor of halves."""
+    bits = 64 << max(0, int(2 * len(s) - 1).bit_length() - 6)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ at the width of the narrower: a lower bound of |A or B| - |A and B|."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(id, s): the shingle hashes of each row of docs (id, text)."""
+    """(id, n, s, bitmap) of each row of docs (id, text): size, shingle hashes, parity bitmap."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(word_hashes(t), k).view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+        sets = [shingles(word_hashes(t), k) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                                           pa.array([parity(s) for s in sets], pa.binary())], ["id", "n", "s", "bitmap"])
 
-    return map_batches(docs, run, "id long, s array<long>")
+    return map_batches(docs, run, "id long, n long, s array<long>, bitmap binary")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, pivot, delta, union2, link) of pairs (id, pivot).
+
+    delta is |A or B| - |A and B| where link could be true, else a lower bound of it; union2 is the size of both sets
+    plus delta, twice the size of their union where delta is exact.
+    """
+    def apart(batch: pa.RecordBatch) -> pa.RecordBatch:
+        delta = [bits_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(delta, pa.int64())], ["id", "pivot", "n", "pn", "delta"])
+
+    maps = sets.select("id", "n", "bitmap")
+    both = (pairs.join(maps, "id").join(maps.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("bitmap").alias("pmap")), "pivot")
+            .select("id", "pivot", "n", "pn", "bitmap", "pmap"))
+    bounded = cut(map_batches(both, apart, "id long, pivot long, n long, pn long, delta long").withColumn("union2", F.col("n") + F.col("pn") + F.col("delta")))
+    could = F.col("delta") * (2 * den) <= F.col("union2") * (den - num)
+    exact = (bounded.where(could).join(sets.select("id", "s"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("ps")), "pivot")
+             .withColumn("delta", (F.col("n") + F.col("pn") - 2 * F.size(F.array_intersect("s", "ps"))).cast("long"))
+             .withColumn("union2", F.col("n") + F.col("pn") + F.col("delta")))
+    return bounded.where(~could).select("id", "pivot", "delta", "union2", F.lit(False).alias("link")).unionByName(
+        exact.select("id", "pivot", "delta", "union2", could.alias("link")))
 
 
 def forest(num: int, den: int):
@@ -149,33 +190,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                     .select("key", "id", "n", "pivot"))
     members = regions.groupBy("id").agg(F.min("n").alias("n"))
     sets = table(sets_of(texts.join(members.select("id"), "id", "left_semi"), k))
-    sized = sets.select("id", "s", F.size("s").alias("n"))
-
-    pairs = regions.where("id <> pivot").select("id", "pivot").distinct()
-    near = table(pairs.join(sized, "id").join(sized.select(F.col("id").alias("pivot"), F.col("s").alias("ps"), F.col("n").alias("pn")), "pivot")
-                 .select("id", "pivot", "n", "pn", F.size(F.array_intersect("s", "ps")).alias("common")))
-    linked = F.col("common") * den >= (F.col("n") + F.col("pn") - F.col("common")) * num
-    links = near.where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    near = table(compared(regions.where("id <> pivot").select("id", "pivot").distinct(), sets, num, den))
+    links = near.where("link").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     first = components(links)
 
-    # Regions whose other members the pivot has not joined: rings around the pivot, tau wide.
+    # Regions whose other members the pivot has not joined: cells 0, within 2 tau of it, and 1, beyond tau.
     placed = (regions.where("id <> pivot").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
               .select("key", "id", "pivot", "comp"))
-    # A ring index is exact in whole numbers: d / tau = den (union - common) / (union (den - num)).
-    union = F.col("n") + F.col("pn") - F.col("common")
-    ring = near.select("id", "pivot", F.floor((union - F.col("common")) * den / (union * (den - num))).alias("ring"))
-    ringed = placed.join(ring, ["id", "pivot"])
-    cells = cut(ringed.select("key", "id", "comp", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring")))
-    many = (cells.groupBy("key", "ring").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    inner = F.col("delta") * den <= F.col("union2") * (den - num)
+    windows = near.select("id", "pivot", F.array_compact(F.array(F.when(inner, F.lit(0)), F.when(~F.col("link"), F.lit(1)))).alias("cells"))
+    # Regions of a pivot and one more member are done.
+    more = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    cells = table(placed.join(more, "key").join(windows, ["id", "pivot"]).select("key", "id", "comp", F.explode("cells").alias("cell")))
+    many = (cells.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .where("lo <> hi"))
     # Cells of the same members are joined once.
-    once = many.groupBy("size", "who").agg(F.min(F.struct("key", "ring")).alias("cell")).select("cell.*", "size")
-    blocks = cells.join(once, ["key", "ring"]).withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")))
-    tasks = blocks.select("key", "ring", "id", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
+    once = many.groupBy("size", "who").agg(F.min(F.struct("key", "cell")).alias("c")).select("c.*", "size")
+    blocks = cells.join(once, ["key", "cell"]).withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")))
+    tasks = blocks.select("key", "cell", "id", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
     tasks = tasks.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    found = (tasks.join(sets, "id").groupBy("key", "ring", "p", "q").applyInPandas(forest(num, den), "a long, b long"))
-    more = cut(found.distinct())
-    final = first if more.isEmpty() else components(links.unionByName(more))
+    found = (tasks.join(sets.select("id", "s"), "id").groupBy("key", "cell", "p", "q").applyInPandas(forest(num, den), "a long, b long"))
+    further = cut(found.distinct())
+    final = first if further.isEmpty() else components(links.unionByName(further))
 
     named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
     out = prof.select("id", "n", "digest").join(named, "digest", "left").select(
