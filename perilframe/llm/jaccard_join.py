@@ -34,7 +34,7 @@ from perilframe.llm.common import components, cut, map_batches, mix, shingles, t
 
 SHELL = 1.6  # ratio of the sizes at which shells end
 SLACK = 4  # classes beyond the largest difference of linked sets
-BLOCK = 1024  # members of a block of a cell
+BLOCK, BLOCK_SHINGLES = 1024, 400_000  # members of a block of a cell, and their shingles
 
 
 def shell_ends(largest: int) -> list[int]:
@@ -129,6 +129,26 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         exact.select("id", "pivot", "delta", "union2", could.alias("link")))
 
 
+def widths(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps folded to the narrowest of them, one row each."""
+    width = min(map(len, maps))
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0) for m in maps])
+
+
+def candidates(num: int, den: int):
+    """Function of one pair of blocks (key, cell, p, q, id, n, bitmap, comp): members that may link with one of another component."""
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        n, comp, maps = block.n.to_numpy(), block.comp.to_numpy(), widths(block.bitmap.to_list())
+        delta = np.zeros((len(n), len(n)), np.float32)
+        for at in range(0, maps.shape[1], 256):
+            bits = np.unpackbits(maps[:, at:at + 256], axis=1).astype(np.float32)
+            ones = bits.sum(axis=1)
+            delta += ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+        may = (delta * (2 * den) <= (n[:, None] + n[None, :] + delta) * (den - num)) & (comp[:, None] != comp[None, :])
+        return block.loc[may.any(axis=1), ["key", "cell", "p", "q", "id", "comp"]]
+    return run
+
+
 def forest(num: int, den: int):
     """Function of one pair of blocks (id, s, comp): a spanning forest of its links between components."""
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -196,20 +216,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     # Regions whose other members the pivot has not joined: cells 0, within 2 tau of it, and 1, beyond tau.
     placed = (regions.where("id <> pivot").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-              .select("key", "id", "pivot", "comp"))
+              .select("key", "id", "pivot", "comp", "n"))
     inner = F.col("delta") * den <= F.col("union2") * (den - num)
     windows = near.select("id", "pivot", F.array_compact(F.array(F.when(inner, F.lit(0)), F.when(~F.col("link"), F.lit(1)))).alias("cells"))
     # Regions of a pivot and one more member are done.
     more = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    cells = table(placed.join(more, "key").join(windows, ["id", "pivot"]).select("key", "id", "comp", F.explode("cells").alias("cell")))
-    many = (cells.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    cells = table(placed.join(more, "key").join(windows, ["id", "pivot"]).select("key", "id", "comp", "n", F.explode("cells").alias("cell")))
+    many = (cells.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .where("lo <> hi"))
     # Cells of the same members are joined once.
-    once = many.groupBy("size", "who").agg(F.min(F.struct("key", "cell")).alias("c")).select("c.*", "size")
-    blocks = cells.join(once, ["key", "cell"]).withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")))
+    once = many.groupBy("size", "who", "weight").agg(F.min(F.struct("key", "cell")).alias("c")).select("c.*", "size", "weight")
+    blocks = cells.join(once, ["key", "cell"]).withColumn("nb", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")))
     tasks = blocks.select("key", "cell", "id", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
     tasks = tasks.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    found = (tasks.join(sets.select("id", "s"), "id").groupBy("key", "cell", "p", "q").applyInPandas(forest(num, den), "a long, b long"))
+    # Bitmaps go first; sets follow for the members that bitmaps leave.
+    left = table(tasks.drop("block", "other").join(sets.select("id", "n", "bitmap"), "id").groupBy("key", "cell", "p", "q")
+                 .applyInPandas(candidates(num, den), "key long, cell int, p long, q long, id long, comp long"))
+    found = (left.join(sets.select("id", "s"), "id").groupBy("key", "cell", "p", "q").applyInPandas(forest(num, den), "a long, b long"))
     further = cut(found.distinct())
     final = first if further.isEmpty() else components(links.unionByName(further))
 
