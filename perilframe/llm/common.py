@@ -126,3 +126,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "component")
         if not moved:
             return labels
+
+
+def narrowed(df: DataFrame, col: str, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Rows of df whose `col` may be among the values of wanted (one column), to be joined with them afterwards.
+
+    A bitmap of `bits` bits, 64 to a row and so at most bits / 64 rows however many values there are, goes to every
+    task; rows that can't match then need no shuffle. Where it fills up, more rows pass, and the join decides.
+    """
+    value = wanted.columns[0]
+    place = lambda c: F.expr(f"pmod(xxhash64({c}), {bits})")
+    map_ = (wanted.select(place(value).alias("at")).select((F.col("at") / 64).cast("long").alias("row64"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+            .groupBy("row64").agg(F.bit_or("bit").alias("map64")))
+    found = df.withColumn("at64", place(col)).withColumn("row64", (F.col("at64") / 64).cast("long")).join(F.broadcast(map_), "row64")
+    return found.where(F.expr("(map64 & shiftleft(1L, cast(at64 % 64 as int))) <> 0")).drop("row64", "map64", "at64")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilframe.llm.common import components, cut, map_batches, mix, shingles, table, word_hashes
+from perilframe.llm.common import components, cut, map_batches, mix, narrowed, shingles, table, word_hashes
 
 SHELL = 1.6  # ratio of the sizes at which shells end
 SLACK = 4  # classes beyond the largest difference of linked sets
@@ -108,7 +108,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, pivot, delta, union2, link) of pairs (id, pivot).
+    """(id, pivot, n, delta, union2, link) of pairs (id, pivot).
 
     delta is |A or B| - |A and B| where link could be true, else a lower bound of it; union2 is the size of both sets
     plus delta, twice the size of their union where delta is exact.
@@ -125,8 +125,8 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     exact = (bounded.where(could).join(sets.select("id", "s"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("ps")), "pivot")
              .withColumn("delta", (F.col("n") + F.col("pn") - 2 * F.size(F.array_intersect("s", "ps"))).cast("long"))
              .withColumn("union2", F.col("n") + F.col("pn") + F.col("delta")))
-    return bounded.where(~could).select("id", "pivot", "delta", "union2", F.lit(False).alias("link")).unionByName(
-        exact.select("id", "pivot", "delta", "union2", could.alias("link")))
+    return bounded.where(~could).select("id", "pivot", "n", "delta", "union2", F.lit(False).alias("link")).unionByName(
+        exact.select("id", "pivot", "n", "delta", "union2", could.alias("link")))
 
 
 def widths(maps: list[bytes]) -> np.ndarray:
@@ -204,21 +204,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     prof = table(profile(texts, k, num, den))
     reps = cut(prof.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     keyed = prof.where("id is not null and size(keys) > 0").join(reps.select(F.col("rep").alias("id"), F.col("digest").alias("d")), "id")
-    rows = keyed.where("digest = d").select("id", "n", F.explode("keys").alias("key"))
+    rows = keyed.where("digest = d").select("id", F.explode("keys").alias("key"))
     by = Window.partitionBy("key")
     regions = table(rows.withColumn("pivot", F.min("id").over(by)).withColumn("last", F.max("id").over(by)).where("pivot <> last")
-                    .select("key", "id", "n", "pivot"))
-    members = regions.groupBy("id").agg(F.min("n").alias("n"))
-    sets = table(sets_of(texts.join(members.select("id"), "id", "left_semi"), k))
+                    .select("key", "id", "pivot"))
+    members = cut(regions.select("id").distinct())
+    sets = table(sets_of(narrowed(texts, "id", members).join(members, "id", "left_semi").select("id", "text"), k))
     near = table(compared(regions.where("id <> pivot").select("id", "pivot").distinct(), sets, num, den))
     links = near.where("link").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     first = components(links)
 
     # Regions whose other members the pivot has not joined: cells 0, within 2 tau of it, and 1, beyond tau.
     placed = (regions.where("id <> pivot").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-              .select("key", "id", "pivot", "comp", "n"))
+              .select("key", "id", "pivot", "comp"))
     inner = F.col("delta") * den <= F.col("union2") * (den - num)
-    windows = near.select("id", "pivot", F.array_compact(F.array(F.when(inner, F.lit(0)), F.when(~F.col("link"), F.lit(1)))).alias("cells"))
+    windows = near.select("id", "pivot", "n", F.array_compact(F.array(F.when(inner, F.lit(0)), F.when(~F.col("link"), F.lit(1)))).alias("cells"))
     # Regions of a pivot and one more member are done.
     more = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     cells = table(placed.join(more, "key").join(windows, ["id", "pivot"]).select("key", "id", "comp", "n", F.explode("cells").alias("cell")))
