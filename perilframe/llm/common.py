@@ -68,7 +68,7 @@ _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 def powers(base: int, n: int) -> np.ndarray:
     """base^1 to base^n modulo 2^64, remembered per task."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         _POWERS[base] = np.cumprod(np.full(max(n, 1 << 16), base, np.uint64))
     return _POWERS[base][:n]
 
