@@ -187,16 +187,16 @@ SELECT k.*, coalesce(b.cflood,0) AS ecf, coalesce(b.cflood,0)+coalesce(b.rflood,
 FROM knobs k LEFT JOIN base_e b USING (site_key) CROSS JOIN {values([(k, p, m, y, pk, pct) for k, _, p, m, y, pk, pct in I.CATALOG])} m(measure, peril, modelled, life, pk, pct)""",
         "cpairs1": """
 SELECT *, CASE measure
- WHEN 'reroof' THEN CASE WHEN roof_type IS NULL AND roof_year IS NULL THEN 'needs roof profile data (roof_type or roof_year)' WHEN wmet>=wind_mult-1e-9 THEN 'roof already at or near best practice' END
- WHEN 'openings' THEN CASE WHEN opening_protection IS NULL THEN 'needs opening_protection profile data' WHEN opening_protection='impact' THEN 'openings already impact-rated' END
- WHEN 'tiedown' THEN CASE WHEN coalesce(construction IN ('frame','masonry'),false) AND year_built<2002 THEN NULL ELSE 'engineered or post-2002 construction' END
- WHEN 'floodproof' THEN CASE WHEN efl<=100 THEN 'no material flood exposure' END
- WHEN 'utility' THEN CASE WHEN equipment_elevated THEN 'critical systems already elevated' WHEN efl<=100 THEN 'no material flood exposure' END
- WHEN 'elevate' THEN CASE WHEN stories>2 THEN 'multi-story structure cannot be elevated' WHEN efl<=100 THEN 'no material flood exposure' END
- WHEN 'buffer' THEN CASE WHEN ecf<=100 THEN 'no material coastal-flood exposure' END
- WHEN 'defensible' THEN CASE WHEN wui_class IS NOT NULL AND coalesce(defensible_space_m,0)<30 THEN NULL ELSE 'not in the wildland-urban interface, or space adequate' END
- WHEN 'roof_class_a' THEN CASE WHEN wui_class IS NOT NULL AND NOT roof_class_a THEN NULL ELSE 'not in the wildland-urban interface, or already Class A' END
- ELSE CASE WHEN backup_power='full' THEN 'full backup power already present' END END AS reason FROM cpairs0""",
+ WHEN 'reroof' THEN CASE WHEN roof_type IS NULL AND roof_year IS NULL THEN 'roof_unknown' WHEN wmet>=wind_mult-1e-9 THEN 'roof_good' END
+ WHEN 'openings' THEN CASE WHEN opening_protection IS NULL THEN 'openings_unknown' WHEN opening_protection='impact' THEN 'openings_good' END
+ WHEN 'tiedown' THEN CASE WHEN coalesce(construction IN ('frame','masonry'),false) AND year_built<2002 THEN NULL ELSE 'frame_not_eligible' END
+ WHEN 'floodproof' THEN CASE WHEN efl<=100 THEN 'flood_below_scope' END
+ WHEN 'utility' THEN CASE WHEN equipment_elevated THEN 'equipment_raised' WHEN efl<=100 THEN 'flood_below_scope' END
+ WHEN 'elevate' THEN CASE WHEN stories>2 THEN 'too_tall' WHEN efl<=100 THEN 'flood_below_scope' END
+ WHEN 'buffer' THEN CASE WHEN ecf<=100 THEN 'surge_below_scope' END
+ WHEN 'defensible' THEN CASE WHEN wui_class IS NOT NULL AND coalesce(defensible_space_m,0)<30 THEN NULL ELSE 'outside_wui_or_clear' END
+ WHEN 'roof_class_a' THEN CASE WHEN wui_class IS NOT NULL AND NOT roof_class_a THEN NULL ELSE 'outside_wui_or_class_a' END
+ ELSE CASE WHEN backup_power='full' THEN 'power_backed_up' END END AS reason FROM cpairs0""",
         "cpairs": f"""
 SELECT *, CASE measure WHEN 'reroof' THEN wmet/wind_mult WHEN 'openings' THEN wimp/wind_mult WHEN 'tiedown' THEN {d(.85)} ELSE 1 END AS wind_dmg_mult,
  CASE measure WHEN 'floodproof' THEN {d(.5)} WHEN 'elevate' THEN {d(1.5)} ELSE 0 END AS fb_bonus, CASE measure WHEN 'buffer' THEN {d(.3)} ELSE 0 END AS cf_depth_red,

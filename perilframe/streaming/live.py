@@ -17,7 +17,7 @@ def heat_sums(daily: DataFrame, watermark: str = "2 days") -> DataFrame:
     state is one row per cell and year; run in update mode and fold with heat_indicators_from.
     """
     days = daily.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["cell", "ts"])
-    sums = []
+    sums = [F.sum((F.col("tmax").isNull() | F.col("tmean").isNull() | F.isnan("tmax") | F.isnan("tmean")).cast("long")).alias("_bad")]
     for i, d in enumerate(A.HEAT_DELTA.values()):
         sums += [F.sum((F.col("tmax") > A.HEAT_HOT_C - d).cast("long")).alias(f"_h{i}"),
                  F.sum((F.col("tmax") > A.HEAT_DANGER_C - d).cast("long")).alias(f"_d{i}"),
@@ -28,7 +28,8 @@ def heat_sums(daily: DataFrame, watermark: str = "2 days") -> DataFrame:
 def heat_indicators_from(sums: DataFrame) -> DataFrame:
     """Yearly state to indicators per scenario, the same figures as the batch operator."""
     names = [f"_{k}{i}" for i in range(len(A.HEAT_DELTA)) for k in "hdc"]
-    cells = sums.groupBy("cell").agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("_years"))
+    cells = sums.groupBy("cell").agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("_years"), F.sum("_bad").alias("_bad"))
+    cells = cells.where("_bad = 0")  # as in batch, a cell with a bad day has no indicators
     per = lambda n: F.col(n) / F.col("_years")
     rows = F.array(*[F.struct(F.lit(s).alias("scenario"), per(f"_h{i}").alias("days32"), per(f"_d{i}").alias("days35"), per(f"_c{i}").alias("cdd"))
                      for i, s in enumerate(A.HEAT_DELTA)])
@@ -38,10 +39,10 @@ def heat_indicators_from(sums: DataFrame) -> DataFrame:
 def claim_sessions(claims: DataFrame, gap: str = "3 days", watermark: str = "30 days") -> DataFrame:
     """Occurrences of unnamed claims per class: claims chain while gaps stay within three days.
 
-    Input: ts, coverage, net_incurred, description. The gap is inclusive, so the session window
-    is one second longer than the gap.
+    Input: ts, coverage, net_incurred, description. Gaps count whole days, inclusive, so
+    times are cut to days and the session window is one second longer than the gap.
     """
-    rows = claims.withWatermark("ts", watermark).withColumn("cls", F.coalesce(text.coverage_class(F.col("coverage")), F.lit("unmapped")))
+    rows = claims.withColumn("ts", F.date_trunc("DAY", "ts")).withWatermark("ts", watermark).withColumn("cls", F.coalesce(text.coverage_class(F.col("coverage")), F.lit("unmapped")))
     rows = rows.where(text.storm_key(F.col("description"), F.year("ts")).isNull())
     session = F.session_window("ts", F.lit(f"{gap} 1 second"))
     return rows.groupBy("cls", session.alias("w")).agg(F.count("*").alias("claims"), F.sum("net_incurred").alias("incurred")).select(

@@ -131,3 +131,13 @@ def test_weights_renormalise(spark):
     cat = spark.createDataFrame([("present",)], "source string")
     got = {(r.scenario, r.source): r.weight for r in losses.present_weights(A.recipe_table(spark), cat).collect()}
     assert got[("ssp126_2030", "present")] == 1.0 and ("ssp126_2080", "rcp26_2080") not in got
+
+
+def test_all_known_layers(spark):
+    from perilframe import assumptions as A
+    from perilframe.operators.scoring import grid_layers, unknown_layers
+    rows = [(h, s) for h in [*A.HAZARDS, "odd"] for s in [*A.SCENARIOS, *(f"x{i}" for i in range(100))]]
+    grid = spark.createDataFrame(rows, "hazard string, scenario string")
+    got = grid_layers(grid)
+    assert {h: set(v) for h, v in got.items()} == {h: set(A.SCENARIOS) for h in A.HAZARDS}
+    assert unknown_layers(grid).count() == len(rows) - len(A.HAZARDS) * len(A.SCENARIOS)
