@@ -107,7 +107,7 @@ def learn(labelled: DataFrame, limit: int = SAMPLE) -> Model:
 
     usable = labelled.where("text is not null and label in (0, 1)").select("doc_id", F.col("text").cast("string"), F.col("label").cast("int"))
     row = sample_of(usable, limit).repartition(1).mapInArrow(run, "weights binary, bias double").first()
-    return Model(np.frombuffer(row.weights, np.float32), row.bias)
+    return Model(np.frombuffer(row.weights, np.float32), row.bias) if row else fit([])  # no task ran: no labelled rows
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
