@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FALLBACK_DIR = "/tmp/perilframe-checkpoints"  # used where a session names no folder, as in tests
+CHUNK = 500_000  # links that a task holds at once
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -106,14 +107,46 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def starred(links: DataFrame) -> DataFrame:
+    """Links (u, v) as stars: each task replaces CHUNK links at a time by links of their nodes to the smallest reachable one."""
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        nodes, at = np.unique(np.concatenate([rows.column(0).to_numpy(), rows.column(1).to_numpy()]), return_inverse=True)
+        u, v = at.reshape(2, -1)
+        label = np.arange(len(nodes))
+        while (label[u] != label[v]).any():
+            low = np.minimum(label[u], label[v])
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[v], low)
+            while ((up := label[label]) != label).any():
+                label = up
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        kind = rows.schema.field(0).type
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved], kind), pa.array(nodes[label[moved]], kind)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size >= CHUNK:
+                yield stars(held)
+                held, size = [], 0
+        if size:
+            yield stars(held)
+
+    return links.mapInArrow(run, links.schema)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected links, for nodes that have one.
 
-    Minimum labels travel along the links and then jump to the label of their label, so that rounds grow with the
-    logarithm of a path. Hot nodes meet partial aggregation on one side and joins that Spark can split on the other.
+    Links become stars within each task first, which shortens paths. Minimum labels then travel along what is left and
+    jump to the label of their label, so that rounds grow with the logarithm of a path. Hot nodes meet partial
+    aggregation on one side and joins that Spark can split on the other.
     """
-    both = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-               .unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct())
+    ends = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
+    stars = table(starred(ends))
+    both = cut(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component")))
     while True:
         near = (both.join(labels.withColumnRenamed("node", "u"), "u").groupBy("v").agg(F.min("component").alias("near")))
@@ -122,12 +155,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
         new = cut(step.join(jump, "component", "left")
                   .select("node", "was", F.least("component", F.coalesce("root", "component")).alias("component")))
-        moved = new.where("component <> was").limit(1).count()
+        moved = not new.where("component <> was").isEmpty()
         labels = new.select("node", "component")
         if not moved:
             return labels
 
 
+def joined_by(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, component), as components() gives them, after further links (a, b): only components are traversed anew."""
+    end = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(between)
+    known = groups.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return cut(known.select("node", F.coalesce("to", "component").alias("component")).unionByName(moved.join(groups, "node", "left_anti")))
+
+
 def narrowed(df: DataFrame, col: str, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
     """Rows of df whose `col` may be among the values of wanted (one column), to be joined with them afterwards.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilframe.llm.common import components, cut, map_batches, mix, narrowed, shingles, table, word_hashes
+from perilframe.llm.common import components, cut, joined_by, map_batches, mix, narrowed, shingles, table, word_hashes
 
 SHELL = 1.6  # ratio of the sizes at which shells end
 SLACK = 4  # classes beyond the largest difference of linked sets
@@ -234,7 +234,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                  .applyInPandas(candidates(num, den), "key long, cell int, p long, q long, id long, comp long"))
     found = (left.join(sets.select("id", "s"), "id").groupBy("key", "cell", "p", "q").applyInPandas(forest(num, den), "a long, b long"))
     further = cut(found.distinct())
-    final = first if further.isEmpty() else components(links.unionByName(further))
+    final = first if further.isEmpty() else joined_by(first, further)
 
     named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
     out = prof.select("id", "n", "digest").join(named, "digest", "left").select(
