@@ -161,11 +161,12 @@ def read_pack(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def read_pack_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A nested results-pack document, checked for kind and version, exploded to tables."""
+    """A nested results-pack document exploded to tables; one of another kind or version is refused."""
     doc = spark.read.option("multiLine", True).json(path)
     if not {"kind", "pack_version", "scenarios"} <= set(doc.columns):
         raise ValueError("not a results pack")
-    doc = doc.where((F.col("kind") == "results_pack") & (F.col("pack_version") == 1))
+    if not doc.where(~((F.col("kind") == "results_pack") & (F.col("pack_version") == 1)).eqNullSafe(True)).isEmpty():
+        raise ValueError("not a results pack of version 1")
     keys = doc.schema["scenarios"].dataType.names
     per = [doc.select(F.lit(k).alias("scenario"), F.col(f"scenarios.{k}.per_site").alias("_s"), F.to_json(f"scenarios.{k}.portfolio").alias("portfolio")) for k in keys]
     rows = reduce(lambda a, b: a.unionByName(b), per)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from perilframe import assumptions as A
@@ -58,3 +59,15 @@ def test_claim_sessions_batch(spark):
     rows = [("2020-01-01", "Flood"), ("2020-01-04", "Flood"), ("2020-01-08", "Flood")]
     df = spark.createDataFrame(rows, "d string, coverage string").select(F.to_timestamp("d").alias("ts"), "coverage", F.lit(1.0).alias("net_incurred"), F.lit(None).cast("string").alias("description"))
     assert sorted(r.claims for r in live.claim_sessions(df).collect()) == [1, 2]
+
+
+def test_pack_of_another_version_is_refused(spark, tmp_path):
+    site = '{"present": {"per_site": [{"name": "a", "loss": 1.0}], "portfolio": {"loss": 1.0}}}'
+    for version, kind in ((1, '"results_pack"'), (2, '"results_pack"'), (1, '"other"'), (1, "null")):
+        path = tmp_path / f"{version}{kind.strip(chr(34))}.json"
+        path.write_text(f'{{"kind": {kind}, "pack_version": {version}, "scenarios": {site}}}')
+        if (version, kind) == (1, '"results_pack"'):
+            assert readers.read_pack_document(spark, str(path))["per_site"].count() == 1
+        else:
+            with pytest.raises(ValueError):
+                readers.read_pack_document(spark, str(path))
