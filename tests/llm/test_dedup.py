@@ -213,3 +213,14 @@ def test_both_ways_of_decontamination_agree(spark):
     for d in docs.limit(60).collect():
         best = max(sum(n for _, _, n in tiles(tokens(t), tokens(d.text.encode()))) / len(tokens(t)) for _, t in items)
         assert best == (tiler.covered(d.text.encode()) or [(0.0, 0)])[0][0]
+
+
+def test_texts_fingerprinted_together_give_what_each_gives_alone():
+    rnd = random.Random(7)
+    words = ["alpha", "Beta,", "γάμμα", "delta", "x", "ΣΊΣΥΦΟΣ"]
+    texts = ["\n".join(" ".join(rnd.choices(words, k=rnd.randrange(12))) for _ in range(rnd.randrange(6))) for _ in range(60)]
+    raws = [line_dedup.lowered(t) for t in [*texts, "", "\n\n", " ".join(words * 100), ""]]
+    row = lambda i, found: [(i + int(t), int(n), k.tobytes(), int(s)) for t, n, k, s in zip(*found, strict=True)]
+    alone = [x for i, raw in enumerate(raws) for x in row(i, line_dedup.lines_of([raw], 5))]
+    assert row(0, line_dedup.lines_of(raws, 5)) == alone and len(alone) > 60
+    assert row(0, line_dedup.lines_of([], 5)) == []
