@@ -80,20 +80,24 @@ def site_points(df: DataFrame) -> DataFrame:
     return out.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
 
 
-def load_grid(df: DataFrame) -> DataFrame:
-    """Hazard grid rows: hazard defaults to tc, unreadable intensities to 0, rows without a key drop."""
+def load_grid(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Hazard grid rows: hazard defaults to tc, unreadable intensities to 0, rows without a key drop. Columns in keep stay."""
     df = S.lower_headers(df)
     S.require(df, ["lat", "lon", "scenario"])
     df = _optional(df, ["hazard", *A.V_COLS])
     out = df.select(text.number_of(F.col("lat")).alias("lat"), text.number_of(F.col("lon")).alias("lon"), blank_to_null(F.col("scenario")).alias("scenario"),
-                    F.coalesce(blank_to_null(F.col("hazard")), F.lit("tc")).alias("hazard"), *[F.coalesce(text.number_of(F.col(c)), F.lit(0.0)).alias(c) for c in A.V_COLS])
+                    F.coalesce(blank_to_null(F.col("hazard")), F.lit("tc")).alias("hazard"), *[F.coalesce(text.number_of(F.col(c)), F.lit(0.0)).alias(c) for c in A.V_COLS], *keep)
     return out.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("scenario").isNotNull())
 
 
-def load_grids(frames: list[DataFrame]) -> tuple[DataFrame, int]:
-    """Several grids merged, the later file winning per cell, scenario and hazard; files without the schema are counted."""
+def load_grids(frames: list[DataFrame], within: str | None = None) -> tuple[DataFrame, int]:
+    """Several grids merged, the later file winning per cell, scenario and hazard; files without the schema are counted.
+
+    Within a file the row with the largest `within` (lower-case column of row numbers) wins; without it, any of them.
+    """
     good = [f for f in frames if {"lat", "lon", "scenario"} <= {c.strip().lower() for c in f.columns}]
-    return last_wins([load_grid(f) for f in good], ["lat", "lon", "scenario", "hazard"]), len(frames) - len(good)
+    merged = last_wins([load_grid(f, (within,) if within else ()) for f in good], ["lat", "lon", "scenario", "hazard"], within)
+    return merged.drop(within) if within else merged, len(frames) - len(good)
 
 
 def load_claims(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -71,3 +71,11 @@ def test_pack_of_another_version_is_refused(spark, tmp_path):
         else:
             with pytest.raises(ValueError):
                 readers.read_pack_document(spark, str(path))
+
+
+def test_later_row_of_a_grid_file_wins(spark):
+    cols = "lat double, lon double, scenario string, v10 double, row long"
+    one = spark.createDataFrame([(1.0, 1.0, "present", 5.0, 2), (1.0, 1.0, "present", 4.0, 1), (2.0, 1.0, "present", 7.0, 3)], cols)
+    two = spark.createDataFrame([(2.0, 1.0, "present", 6.0, 0)], cols)
+    merged, bad = readers.load_grids([one, two, one.drop("lat")], "row")
+    assert bad == 1 and {(r.lat, r.v10) for r in merged.collect()} == {(1.0, 5.0), (2.0, 6.0)} and "row" not in merged.columns
