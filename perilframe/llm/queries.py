@@ -30,7 +30,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return line_dedup.line_report(read(spark, sf, "documents"))
+    return line_dedup.line_report(read(spark, sf, "documents"), **line_dedup.FUZZY)
 
 
 @query

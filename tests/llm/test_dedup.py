@@ -224,3 +224,60 @@ def test_texts_fingerprinted_together_give_what_each_gives_alone():
     alone = [x for i, raw in enumerate(raws) for x in row(i, line_dedup.lines_of([raw], 5))]
     assert row(0, line_dedup.lines_of(raws, 5)) == alone and len(alone) > 60
     assert row(0, line_dedup.lines_of([], 5)) == []
+
+
+def similar_lines(rows):
+    """Distinct normal forms of lines of five words or more, and all pairs of them with an edit similarity of 0.8 or more."""
+    lines = sorted({" ".join(w) for _, t in rows for x in (t or "").lower().split("\n") if len(w := re.sub(r"[!-/:-@\[-`{-~]", "", x).split()) >= 5}, key=len)
+    pairs = []
+    for j, y in enumerate(lines):
+        for x in reversed(lines[:j]):
+            if 5 * len(x) < 4 * len(y):
+                break
+            if sum((Counter(x) - Counter(y)).values()) * 5 <= len(y) and 5 * line_dedup.edit_distance(x, y) <= len(y):
+                pairs.append((x, y))
+    return lines, pairs
+
+
+def joined_share(spark, rows, pairs):
+    """Share of the pairs of lines that fuzzy deduplication leaves in one group."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.duplicate_lines(docs, **line_dedup.FUZZY).collect()
+    texts = {d: t.lower().split("\n") for d, t in rows if t}
+    norm = lambda d, i: " ".join(re.sub(r"[!-/:-@\[-`{-~]", "", texts[d][i]).split())
+    group = {norm(r.doc_id, r.line): (r.keep_doc, r.keep_line) for r in found}
+    group |= {norm(d, i): (d, i) for d, i in set(group.values())}
+    return sum(x in group and group[x] == group.get(y) for x, y in pairs) / len(pairs)
+
+
+def test_fuzzy_lines_recall_against_edit_similarity(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    _, pairs = similar_lines(rows)
+    assert len(pairs) > 20 and joined_share(spark, rows, pairs) >= 0.9
+    rnd = random.Random(11)
+    syllables = ["ba", "tre", "lo", "min", "ka", "sur", "ed", "ing", "po", "vel"]
+    vocabulary = ["".join(rnd.choices(syllables, k=rnd.randint(2, 4))) for _ in range(4000)]
+    for size in (5, 10, 20, 50):  # one word replaced
+        pairs = []
+        while len(pairs) < 100:
+            x = rnd.choices(vocabulary, k=size)
+            y = list(x)
+            y[rnd.randrange(size)] = rnd.choice(vocabulary)
+            x, y = " ".join(x), " ".join(y)
+            if x != y and 5 * levenshtein(x, y) <= max(len(x), len(y)):
+                pairs.append((x, y))
+        assert joined_share(spark, [(i, t) for i, t in enumerate(t for p in pairs for t in p)], pairs) >= 0.9, size
+
+
+def test_lines_of_one_simhash_are_all_compared(spark):
+    # The same words, one moved at a time: neighbours are similar, the ends are not, and all have one SimHash.
+    rnd, rows = random.Random(5), []
+    for f in range(6):
+        line = [f"{rnd.choice('abcdefgh')}{rnd.randrange(1000)}x{f}" for _ in range(14)]
+        for _ in range(8):
+            rows.append((len(rows), " ".join(line)))
+            line.append(line.pop(rnd.randrange(len(line) - 1)))
+    rnd.shuffle(rows)
+    want = brute_lines(rows)
+    got = lambda **kw: {(x.doc_id, x.line) for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect()}
+    assert got() == want and len(want) == 42 and got(**line_dedup.FUZZY) >= want
