@@ -16,6 +16,7 @@ BITS = 18  # hashed features: 2^BITS weights
 PREFIXES = (4, 5, 6)  # letters of a word's beginning that are features besides the whole word
 SAMPLE = 6000  # at most so many labelled documents are learned from; those with the smallest id hashes
 EPOCHS, RATE, L2 = 8, 2.0, 1e-4
+LONG_BAGS, LONG_SIZE = 160, 13  # long bags laid together from labelled ones, for each epoch; up to 2^LONG_SIZE sentences
 FEATURE_CACHE = 400_000
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -47,10 +48,14 @@ class Features:
 
 @dataclass
 class Model:
-    """A logistic score of each sentence; a document is toxic unless all its sentences are clean."""
+    """A logistic score of each sentence; a document is toxic unless all its sentences are clean.
+
+    Each sentence of n loses slope * log(n), so that the least scores of many clean ones don't add up.
+    """
 
     weights: np.ndarray
     bias: float
+    slope: float = 0.0
 
 
 def noisy_or(logits: np.ndarray) -> float:
@@ -59,19 +64,37 @@ def noisy_or(logits: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[list[np.ndarray], int]]) -> Model:
-    """AdaGrad on the document likelihood of the noisy-or. rows: (features of each sentence, label)."""
-    w, seen, bias, bias_seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2), -4.0, 1e-2
+    """AdaGrad on the document likelihood of the noisy-or. rows: (features of each sentence, label).
+
+    Among the documents come long bags, of clean documents laid end to end and of one toxic document within clean ones,
+    whose label is known from theirs: labelled documents of thousands of sentences are few.
+    """
+    w, seen, bias, bias_seen, slope, slope_seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2), -4.0, 1e-2, 0.5, 1.0
     positive = sum(y for _, y in rows)
     weight = {1: min(10.0, max(1.0, (len(rows) - positive) / max(1, positive)) ** 0.5), 0: 1.0}
-    ready = []  # of each document: its distinct features, and for each occurrence its place among them and its sentence
+    ready = []  # of each document: the features of each occurrence and its sentence, the number of sentences, the label
     for sentences, y in rows:
-        used, place = np.unique(np.concatenate(sentences), return_inverse=True)
-        ready.append((used.astype(np.int32), place.astype(np.int32), np.repeat(np.arange(len(sentences), dtype=np.int32), [len(s) for s in sentences]), len(sentences), y))
+        ready.append((np.concatenate(sentences), np.repeat(np.arange(len(sentences), dtype=np.int32), [len(s) for s in sentences]), len(sentences), y))
+    clean_rows, toxic_rows = ([k for k, (*_, y) in enumerate(ready) if y == v] for v in (0, 1))
     order = np.random.default_rng(0)
+
+    def long_bag(y: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        size, parts, n = 2 ** order.uniform(5, LONG_SIZE), [], 0
+        if y:
+            parts.append(ready[toxic_rows[order.integers(len(toxic_rows))]])
+            n = parts[0][2]
+        while n < size:
+            parts.append(ready[clean_rows[order.integers(len(clean_rows))]])
+            n += parts[-1][2]
+        starts = np.cumsum([0, *[p[2] for p in parts]])
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + s for p, s in zip(parts, starts[:-1], strict=True)]), int(starts[-1]), y
+
     for _ in range(EPOCHS):
-        for k in order.permutation(len(ready)):
-            used, place, at, n, y = ready[k]
-            z = np.clip(bias + np.bincount(at, w[used][place], n), -30, 30)
+        bags = LONG_BAGS * bool(clean_rows)
+        for k in order.permutation(len(ready) + bags):
+            features, at, n, y = ready[k] if k < len(ready) else long_bag(int(k % 2 and bool(toxic_rows)))
+            used, place = np.unique(features, return_inverse=True)
+            z = np.clip(bias - slope * np.log(n) + np.bincount(at, w[used][place], n), -30, 30)
             p = 1 / (1 + np.exp(-z))
             clean = np.exp(-np.logaddexp(0, z).sum())
             g = weight[y] * (p if not y else -clean / max(1 - clean, 1e-6) * p)
@@ -81,7 +104,10 @@ def fit(rows: list[tuple[list[np.ndarray], int]]) -> Model:
             total = g.sum()
             bias_seen += total ** 2
             bias -= 0.2 * RATE * total / bias_seen ** 0.5
-    return Model(w.astype(np.float32), bias)
+            fall = -total * np.log(n)
+            slope_seen += fall ** 2
+            slope = max(0.0, slope - 0.05 * RATE * fall / slope_seen ** 0.5)
+    return Model(w.astype(np.float32), bias, slope)
 
 
 def sample_of(labelled: DataFrame, limit: int, id_col: str = "doc_id") -> DataFrame:
@@ -103,11 +129,11 @@ def learn(labelled: DataFrame, limit: int = SAMPLE) -> Model:
             rows += [(i, [features.of(s) for s in Features.sentences(t)], y) for i, t, y in zip(ids, texts, labels, strict=True)]
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2], len(r[1])))
         model = fit([(s, y) for _, s, y in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.slope])], ["weights", "bias", "slope"])
 
     usable = labelled.where("text is not null and label in (0, 1)").select("doc_id", F.col("text").cast("string"), F.col("label").cast("int"))
-    row = sample_of(usable, limit).repartition(1).mapInArrow(run, "weights binary, bias double").first()
-    return Model(np.frombuffer(row.weights, np.float32), row.bias) if row else fit([])  # no task ran: no labelled rows
+    row = sample_of(usable, limit).repartition(1).mapInArrow(run, "weights binary, bias double, slope double").first()
+    return Model(np.frombuffer(row.weights, np.float32), row.bias, row.slope) if row else fit([])  # no task ran: no labelled rows
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
@@ -117,10 +143,10 @@ def score(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
     there is no word. Null and empty texts get the score of one empty sentence. Texts are scored whole; repeated rows
     and null ids alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((np.asarray(model.weights), model.bias))  # 2^BITS numbers, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast((np.asarray(model.weights), model.bias, model.slope))  # 2^BITS numbers, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, (weights, bias) = Features(), shared.value
+        features, (weights, bias, slope) = Features(), shared.value
         known: dict[str, float] = {}  # the sum of a word's weights
 
         def of(sentence: list[str]) -> float:
@@ -145,7 +171,8 @@ def score(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
                             if z[-1] > best[0]:
                                 best = (z[-1], start, end)
                         start = end
-                    rows.append((noisy_or(np.array(z or [bias])), best[1], best[2], None if best[1] is None else 1 / (1 + np.exp(-best[0]))))
+                    less = slope * np.log(max(1, len(z)))
+                    rows.append((noisy_or(np.array(z or [bias]) - less), best[1], best[2], None if best[1] is None else 1 / (1 + np.exp(less - best[0]))))
                 names = [c for c in part.schema.names if c != "text"]
                 types = [pa.float64(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True))],

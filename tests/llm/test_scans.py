@@ -139,3 +139,23 @@ def test_noisy_or_finds_the_sentence(spark):
         assert (r.score >= 0.5) == bool(r.label)
         assert not r.label or "vile troll" in r.whole[r.worst_start:r.worst_end]
     assert toxicity.noisy_or(np.array([0.0, 0.0])) == pytest.approx(0.75)
+
+
+def test_toxicity_of_long_texts_does_not_grow_with_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    learned, held, features = [], [], toxicity.Features()
+    for r in docs.where("text is not null and toxic in (0, 1)").orderBy("doc_id").collect():
+        (held if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 else learned).append(([features.of(s) for s in features.sentences(r.text)], r.toxic))
+    model = toxicity.fit(learned)
+
+    def rejected(sentences):
+        z = np.array([model.bias + model.weights[s].sum() for s in sentences]) - model.slope * np.log(len(sentences))
+        return toxicity.noisy_or(z) >= 0.5
+    for low, high in ((0, 31), (31, 63), (63, 255)):
+        clean, toxic = ([rejected(s) for s, y in held if y == v and low <= len(s) < high] for v in (0, 1))
+        assert sum(clean) <= 0.04 * len(clean) and sum(toxic) >= 0.7 * len(toxic), (low, sum(clean), len(clean), sum(toxic), len(toxic))
+    clean, toxic = ([s for s, y in held if y == v and rejected(s) == bool(v)] for v in (0, 1))
+    rnd = np.random.default_rng(1)
+    for size in (363, 1817, 7282):
+        bags = [[x for k in rnd.permutation(len(clean)) for x in clean[k]][:size] for _ in range(20)]
+        assert sum(map(rejected, bags)) <= 1 and sum(rejected(b + toxic[rnd.integers(len(toxic))]) for b in bags) >= 16, size
