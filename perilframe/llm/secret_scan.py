@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,7 +26,12 @@ IDENTIFIERS = ("authorization bearer access_key access_token refresh_token api_k
 CANDIDATE = r"(?a)(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 CONTEXT = 400  # characters on each side that prime the compressor besides the dictionary
 NEAR = 60  # characters before a candidate in which a sensitive word counts
-NOVEL_BITS = 6.5  # least marginal compressed bits per character
+NOVEL_BITS = 6.5  # marginal compressed bits per character that are enough for any alphabet
+# Long or few-lettered random strings need no more than their alphabet's bits, so that these and a share above are enough too:
+# for hexadecimal and base32 at any length, for others from ANY_ALPHABET characters on. The share, what the format adds,
+# falls beyond LONG characters. Words joined to identifiers have less.
+OVER, LONG, ANY_ALPHABET = 0.14, 256, 64
+ALPHABETS = [frozenset("0123456789abcdef"), frozenset("0123456789ABCDEF"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567=")]
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base string, spans string"
 
 
@@ -45,6 +51,17 @@ class Novelty:
         return 8 * (self.size(body) - self.size(around)) / len(candidate)
 
 
+def enough_bits(word: str, novel_bits: float = NOVEL_BITS) -> float:
+    """Marginal bits per character from which a string is novel, by its length and what its alphabet allows."""
+    used = set(word)
+    fixed = next((16 if len(a) == 16 else 32 for a in ALPHABETS if used <= a), None)
+    if fixed is None and len(word) < ANY_ALPHABET:
+        return novel_bits
+    size = fixed or (26 * any("a" <= c <= "z" for c in used) + 26 * any("A" <= c <= "Z" for c in used)
+                     + 10 * any("0" <= c <= "9" for c in used) + len(used & set("+/_=-")))
+    return min(novel_bits, math.log2(size) * (1 + OVER * min(1.0, LONG / len(word)) ** 1.5))
+
+
 class Scanner:
     def __init__(self, novel_bits: float = NOVEL_BITS):
         self.base = [(kind, re.compile(p), group, least) for kind, p, group, least in BASE]
@@ -66,7 +83,7 @@ class Scanner:
                 if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
                     continue
                 if self.sensitive.search(text, max(0, start - NEAR), start) and self.novelty.bits(
-                        text[max(0, start - CONTEXT):start], word, text[end:end + CONTEXT]) >= self.novel_bits:
+                        text[max(0, start - CONTEXT):start], word, text[end:end + CONTEXT]) >= enough_bits(word, self.novel_bits):
                     found.append((start, len(self.base), end))
         return sorted(found)
 
@@ -77,7 +94,8 @@ def scan(docs: DataFrame, novel_bits: float = NOVEL_BITS) -> DataFrame:
     base and spans list kind:start:end by start, then kind, joined by commas; offsets are code points, end exclusive,
     of the whole match. base has the fixed patterns, leftmost and non-overlapping per kind; spans also has `novel`
     ones: strings after a sensitive word whose marginal compressed size, primed by an identifier dictionary and the
-    surrounding text, is at least novel_bits per character, and which no base span touches.
+    surrounding text, is at least novel_bits per character or what their alphabet and length allow (see enough_bits),
+    and which no base span touches.
 
     Null and empty text has no spans. doc_id is passed on, null or repeated. Extra columns are not read. Each text is
     scanned whole in one task, with memory for a small batch of texts.

@@ -58,6 +58,26 @@ def test_secrets(spark, odd, none):
     assert all(r.base_sha256 == hashlib.sha256(",".join(plain_base(texts[r.doc_id])).encode()).hexdigest() for r in queries.op5_secret_scan(spark, SMALL).collect())
 
 
+def test_random_secrets_of_any_alphabet_and_length():
+    rnd, scanner = np.random.default_rng(3), secret_scan.Scanner()
+    prose = "the members of the house were asked to read what had been written about the harbour and the weather there, and so on. " * 4
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [digits + "ABCDEF", upper + "234567", upper.lower() + digits, upper + upper.lower() + digits, upper + upper.lower() + digits + "-_"]
+    novel = len(secret_scan.BASE)
+    for alphabet in alphabets:
+        for size in (24, 40, 64, 128, 256, 1024, 4096):
+            for around in ("", prose[:60], prose[:400]):
+                hit = 0
+                for _ in range(10):
+                    word = "".join(rnd.choice(list(alphabet), size))
+                    word = (alphabet[10] if alphabet[10].isalpha() else "x") + "2" + word[2:]  # a letter and a digit at least
+                    hit += any(k == novel for _, k, _ in scanner.spans(f"{around} Authorization: Bearer {word} {around}"))
+                assert hit >= 9, (alphabet, size, len(around), hit)
+    named = ["the_weather_of_the_harbour_and_the_house_2", "read-what-had-been-written-about-members-and-the-house-3/of/the/harbour-and-weather-there",
+             "_".join(["members_of_the_house_2", "written_about_weather", "asked_to_read_the_harbour"] * 5)]
+    assert not [w for w in named if any(k == novel for _, k, _ in scanner.spans(f"{prose} bearer {w} {prose}"))]
+
+
 def test_language(spark, odd, none):
     got = queries.op6_language_id(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
