@@ -34,7 +34,7 @@ class Profiles:
     def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-gram codes of the lower-cased letters, other characters being gaps, and their counts."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = IS_LETTER[np.minimum(codes, len(IS_LETTER) - 1)] | (codes >= len(IS_LETTER))
+        letter = IS_LETTER[codes]
         code = np.where(letter, np.where(codes < 128, codes, 128 + codes % np.uint32(LETTERS - 128)), 0).astype(np.int64)
         if len(code) > 1:
             code = code[np.append(True, (code[1:] != 0) | (code[:-1] != 0))]  # one gap between words
@@ -55,7 +55,7 @@ class Profiles:
         return out
 
 
-IS_LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
+IS_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def prototypes(docs: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:

@@ -78,6 +78,15 @@ def test_random_secrets_of_any_alphabet_and_length():
     assert not [w for w in named if any(k == novel for _, k, _ in scanner.spans(f"{prose} bearer {w} {prose}"))]
 
 
+def test_texts_without_letters_are_und(spark):
+    rows = [(1, "\U0001F600\U0001F680 \U0001F389"), (2, "\u3002\u3001\u300c\u300d"), (3, "\uff11\uff12\uff13"), (4, "\u65e5\u672c\u8a9e"), (5, "hello there")]
+    docs = spark.createDataFrame([(i, t, "a" if i % 2 else "b") for i, t in rows], "doc_id long, text string, lang string")
+    learned = language_id.prototypes(docs.where("doc_id > 3"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, learned, [F.col("doc_id")]).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "b" and got[5][0] == "a"
+    assert language_id.prototypes(docs.where("doc_id < 4")) == {}
+
+
 def test_language(spark, odd, none):
     got = queries.op6_language_id(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
