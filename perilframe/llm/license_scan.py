@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,28 @@ KNOWN = [
     ("BSD-3-Clause", "notice", "Licensed under the BSD 3-Clause License."), ("MPL-2.0", "notice", "Licensed under the Mozilla Public License, version 2.0."),
     ("all-rights-reserved", "notice", "All rights reserved."),
 ]
+_APACHE_HEADER = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n"
+                  "You may obtain a copy of the License at\n\n    {}://www.apache.org/licenses/LICENSE-2.0\n\n"
+                  "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+                  "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\n"
+                  "limitations under the License.")
+_UNLICENSE = ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, "
+              "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+              "non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software "
+              "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+              "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+              "relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+              + _WARRANTY.replace("NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE", "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE")
+              + "\n\nFor more information, please refer to {}")
+KNOWN += [(p.stem, "text", p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+KNOWN += [("Apache-2.0", "text", _APACHE_HEADER.format(x)) for x in ("http", "https")]
+KNOWN += [("Unlicense", "text", _UNLICENSE.format(x)) for x in ("<http://unlicense.org/>", "<https://unlicense.org>", "<https://unlicense.org/>")]
+KNOWN += [("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
+          ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+          ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+          ("MPL-2.0", "notice", "License, v. 2.0. If a copy of the MPL was not distributed with this"),
+          *[(i, "notice", f"SPDX-License-Identifier: {i}{e}") for i in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for e in ("", "-only", "-or-later")],
+          *[(i, "notice", f"SPDX-License-Identifier: {i}") for i in ("MPL-2.0", "CC0-1.0", "Unlicense", "ISC", "Zlib", "0BSD", "BSD-2-Clause", "BSD-3-Clause")]]
 COPYRIGHT_LINE = r"(?im)^[^a-z0-9\n]*(copyright\b|\(c\)|©)[^\n]*(19|20)[0-9][0-9][^\n]*$"
 
 

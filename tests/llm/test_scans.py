@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -38,6 +39,17 @@ def test_licenses(spark, odd, none):
     assert len(got) == 7 and license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
 
 
+def test_full_licences_and_headers(spark):
+    header = ("# Copyright 2020 Some Body\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n"
+              "# you may not use this file except in compliance with the License.\nmore")
+    folder = Path(license_scan.__file__).parent / "licenses"
+    texts = {p.stem: p.read_text() for p in folder.glob("*.txt")}
+    rows = [*texts.items(), ("header", header), ("part", texts["GPL-3.0"][:20000]), ("Unlicense", license_scan._UNLICENSE.format("https://unlicense.org"))]
+    got = {r.doc_id: (r.license_id, r.notices) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert len(texts) == 7 and all(got[i][0] == i for i in [*texts, "Unlicense"])
+    assert got["header"] == (None, "Apache-2.0") and got["part"][0] is None
+
+
 def plain_base(text):
     out = []
     for k, (kind, p, group, least) in enumerate([("assign", r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
