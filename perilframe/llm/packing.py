@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,19 @@ class WordTokens:
 
     Two maps hold little-endian 32-bit ids: by blank-separated token, and by the words that the pattern finds in it.
     """
+    held: ClassVar[dict[str, WordTokens]] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> WordTokens:
+        """The one of this process: what a task has learned serves the worker's later tasks."""
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
+        self.size = self.whole.get_vocab_size()
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.find, self.odd = regex.compile(WORD).findall, regex.compile(ODD).search
         self.tokens: dict[str, bytes] = {}
@@ -56,11 +66,10 @@ class WordTokens:
         for at in range(0, len(new), 512):
             some = new[at:at + 512]
             found = self.whole.encode(" ".join(some), add_special_tokens=False)
-            ids: list[list[int]] = [[] for _ in some]
-            for i, w in zip(found.ids, found.word_ids, strict=True):
-                ids[w].append(i)
-            self.words.update((w, np.array(i, "<u4").tobytes()) for w, i in zip(some, ids, strict=True))
-        self.tokens.update((t, b"".join(self.words[w] for w in ws)) for t, ws in parts.items())
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = [0, *(4 * np.searchsorted(found.word_ids, np.arange(len(some)), "right")).tolist()]
+            self.words.update((w, ids[ends[k]:ends[k + 1]]) for k, w in enumerate(some))
+        self.tokens.update((t, self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])) for t, ws in parts.items())
 
 
 class Packer:
@@ -152,7 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     that repeat are packed each; null doc_id is passed on. Extra columns are not read. Empty tables give no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokens(vocabulary), Packer(window)
+        words, packer = WordTokens.shared(vocabulary), Packer(window)
         base = TaskContext.get().partitionId() << 33
 
         def rows(full: list[tuple[int, list]]) -> list[tuple]:

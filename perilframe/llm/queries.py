@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilframe.llm import (chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, packing,
-                            secret_scan, toxicity)
+from perilframe.llm import (chat_format, common, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, license_scan, line_dedup,
+                            packing, record_files, secret_scan, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +148,35 @@ def toxicity_model(spark: SparkSession, sf: str) -> toxicity.Model:
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     found = toxicity.score(read(spark, sf, "documents"), toxicity_model(spark, sf), [F.col("doc_id"), held_out().alias("held_out")])
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select("doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score")
+
+
+@query
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf, "embeddings"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf, "embeddings").select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH k AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, c -> CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(CAST(a.x AS DOUBLE[]), CAST(b.x AS DOUBLE[])) AS BIGINT) AS score
+      FROM k a JOIN k b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)"""
+
+
+@query
+def op13_record_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{common.shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    record_files.write(read(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return record_files.write_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset")
