@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perilframe.llm.packing import END_ID, WordTokens
+from perilframe.llm.packing import END_ID, TEXTS, WordTokens
 
 MASK = 0xA282EAD8  # fixed value: the addend that published record formats use
 FILE_BYTES = 32 << 20  # a file ends with the record that reaches this; a reading task holds some files
@@ -87,8 +87,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, file_bytes: int = FILE_BY
         words = WordTokens.shared(vocabulary)
         width, task, number, filled, place = (2 if words.size <= 1 << 16 else 4), TaskContext.get().partitionId(), 0, 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 files, frames, places = [], [], []
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist()), strict=True):
                     frames.append(frame(doc_id, np.append(ids, np.uint32(END_ID)), width))

@@ -85,3 +85,11 @@ def test_words_learned_in_one_step_equal_whole_texts():
     texts = ["It's a we'll-known x2y3 ... I'd!! 42", "", " \n ", "naïve café é ΣΊΣΥΦΟΣ İ", "<|endoftext|> a", "日本語 テキスト", "a\x1cb c\x85d", "'s 't ''ll", "🙂🙂 x"] * 3
     for _ in range(2):
         assert [x.tolist() for x in words.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_all_code_points_equal_the_tokenisers():
+    words, whole = packing.WordTokens(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 17 == 0)]
+    texts = [f"a{c}b1{c}. {c}" for c in points]
+    want = whole.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(got.tolist() == w.ids for got, w in zip(words.ids(texts), want, strict=True))
