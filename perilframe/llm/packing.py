@@ -10,7 +10,6 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,11 +18,10 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 OPEN_LIMIT = 8192  # open windows a task holds before it pours their content together; a memory bound, no document is dropped
-TOKEN_CACHE = 1_000_000  # distinct tokens a worker remembers
-TEXTS = 4096  # texts of a batch that are taken together
-TOGETHER = 1 << 24  # code points of texts that are looked up at once
-# Characters that str.lower treats otherwise than the tokeniser.
-ODD = "\u0130\u03a3"
+TOKEN_CACHE = 600_000  # distinct tokens a worker remembers
+TEXTS = 256  # texts that are taken together
+# Characters that str.split or str.lower treat otherwise than the tokeniser.
+ODD = "\x1c\x1d\x1e\x1f\x85\u0130\u03a3"
 # Fixed value: the word pattern of the vocabulary file's pre-tokeniser.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # A byte-level model names bytes by letters: printable ones of Latin-1 by themselves, the others in order by those from 256 on.
@@ -35,7 +33,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordTokens:
     """Token ids of texts. The vocabulary's model sees one word at a time, so ids are remembered by word.
 
-    tokens holds little-endian 32-bit ids by blank-separated token.
+    Two maps hold little-endian 32-bit ids: by blank-separated token, and by the words that the pattern finds in it.
     """
     held: ClassVar[dict[str, WordTokens]] = {}
 
@@ -54,34 +52,24 @@ class WordTokens:
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.find = regex.compile(WORD).findall
         self.tokens: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.settled: dict[str, bool] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """As whole.encode(text, add_special_tokens=False).ids for each text."""
-        out, held, size = [], [], 0
-        for t in texts:
-            held.append(t)
-            size += len(t)
-            if size >= TOGETHER:
-                out, held, size = out + self.some_ids(held), [], 0
-        return out + self.some_ids(held) if held else out
-
-    def some_ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.tokens) > TOKEN_CACHE:
+            self.tokens, self.words = {}, {}
         # Texts that normalisation changes beyond str.lower and blanks, or that name special ids, go to the tokeniser whole.
-        odd = [any(c in t for c in ODD) or any(s in t for s in self.specials) or not unicodedata.is_normalized("NFC", t) for t in texts]
-        split = pc.ascii_split_whitespace(pa.array(["" if o else t.lower() for t, o in zip(texts, odd, strict=True)], pa.string()))
-        code = split.values.dictionary_encode()
-        tokens = code.dictionary.to_pylist()
-        found = list(map(self.tokens.get, tokens))
-        if new := [k for k, f in enumerate(found) if f is None]:
-            for k, f in zip(new, self.learn([tokens[k] for k in new]), strict=True):
-                found[k] = f
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4")))
-        flat = ids.take(code.indices).flatten().to_numpy()
-        ends = np.append(0, np.cumsum(size[code.indices.to_numpy()]))[split.offsets.to_numpy()]
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if o else flat[ends[k]:ends[k + 1]]
-                for k, (t, o) in enumerate(zip(texts, odd, strict=True))]
+        split = [None if any(c in t for c in ODD) or any(s in t for s in self.specials) or not unicodedata.is_normalized("NFC", t) else t.lower().split()
+                 for t in texts]
+        found = [None if tokens is None else list(map(self.tokens.get, tokens)) for tokens in split]
+        missing = [k for k, f in enumerate(found) if f is not None and None in f]
+        if missing:
+            self.learn({t for k in missing for t, f in zip(split[k], found[k], strict=True) if f is None})
+            for k in missing:
+                found[k] = [self.tokens[t] if f is None else f for t, f in zip(split[k], found[k], strict=True)]
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if f is None else np.frombuffer(b"".join(f), "<u4")
+                for t, f in zip(texts, found, strict=True)]
 
     def old(self, c: str) -> bool:
         """The letter has been in Unicode for long, so that the pattern and the tokeniser agree on what it is."""
@@ -89,19 +77,13 @@ class WordTokens:
             self.settled[c] = unicodedata.ucd_3_2_0.category(c) != "Cn"
         return self.settled[c]
 
-    def learn(self, tokens: list[str]) -> list[bytes]:
-        """Ids of new tokens, from those of their distinct words."""
-        parts = [[t] if t.isascii() and t.isalpha() else self.find(t) if t.isascii() or all(map(self.old, t)) else None for t in tokens]
-        some = list({w for ws in parts if ws for w in ws})
+    def learn(self, tokens: set[str]) -> None:
+        parts = {t: [t] if t.isascii() and t.isalpha() else self.find(t) if t.isascii() or all(map(self.old, t)) else None for t in tokens}
+        some = list({w for ws in parts.values() if ws for w in ws if w not in self.words})
         ready = [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for w in some]
-        words = {w: array("I", f.ids).tobytes() for at in range(0, len(some), 4096)
-                 for w, f in zip(some[at:at + 4096], self.model.encode_batch_fast(ready[at:at + 4096], add_special_tokens=False), strict=True)}
-        made = [array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if ws is None else words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-                for t, ws in zip(tokens, parts, strict=True)]
-        if len(self.tokens) + len(tokens) > TOKEN_CACHE:
-            self.tokens = {}
-        self.tokens.update(zip(tokens, made, strict=True))
-        return made
+        self.words.update((w, array("I", f.ids).tobytes()) for w, f in zip(some, self.model.encode_batch_fast(ready, add_special_tokens=False), strict=True))
+        self.tokens.update((t, array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if ws is None else
+                            self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])) for t, ws in parts.items())
 
 
 class Packer:
