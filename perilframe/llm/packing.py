@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 OPEN_LIMIT = 8192  # open windows a task holds before it pours their content together; a memory bound, no document is dropped
-TOKEN_CACHE = 600_000  # distinct tokens a worker remembers
+TOKEN_CACHE = 300_000  # distinct tokens a worker remembers, and as many from before
 TEXTS = 256  # texts that are taken together
 # Characters that str.split or str.lower treat otherwise than the tokeniser.
 ODD = "\x1c\x1d\x1e\x1f\x85\u0130\u03a3"
@@ -27,6 +27,8 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # A byte-level model names bytes by letters: printable ones of Latin-1 by themselves, the others in order by those from 256 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+LATIN_END = "\u0220"  # letters before it are Latin ones that have been in Unicode for long
+MARKS = ".,;:!?"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,27 +47,34 @@ class WordTokens:
         return cls.held[path]
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.whole.model)  # without normaliser and pre-tokeniser: for words that are ready
+        self.model = Tokenizer(self.whole.model)  # without normaliser: for words that are ready
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ends = [i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]
+        self.last = np.isin(np.arange(self.whole.get_vocab_size()), ends)
         self.size = self.whole.get_vocab_size()
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.find = regex.compile(WORD).findall
         self.tokens: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # those of the time before, from where what is seen again comes back
         self.words: dict[str, bytes] = {}
         self.settled: dict[str, bool] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """As whole.encode(text, add_special_tokens=False).ids for each text."""
         if len(self.tokens) > TOKEN_CACHE:
-            self.tokens, self.words = {}, {}
+            self.before, self.tokens, self.words = self.tokens, {}, {}
         # Texts that normalisation changes beyond str.lower and blanks, or that name special ids, go to the tokeniser whole.
         split = [None if any(c in t for c in ODD) or any(s in t for s in self.specials) or not unicodedata.is_normalized("NFC", t) else t.lower().split()
                  for t in texts]
         found = [None if tokens is None else list(map(self.tokens.get, tokens)) for tokens in split]
         missing = [k for k, f in enumerate(found) if f is not None and None in f]
         if missing:
-            self.learn({t for k in missing for t, f in zip(split[k], found[k], strict=True) if f is None})
+            new = {t for k in missing for t, f in zip(split[k], found[k], strict=True) if f is None}
+            known = {t: self.before[t] for t in new if t in self.before}
+            self.tokens.update(known)
+            self.learn(new - known.keys())
             for k in missing:
                 found[k] = [self.tokens[t] if f is None else f for t, f in zip(split[k], found[k], strict=True)]
         return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if f is None else np.frombuffer(b"".join(f), "<u4")
@@ -77,13 +86,29 @@ class WordTokens:
             self.settled[c] = unicodedata.ucd_3_2_0.category(c) != "Cn"
         return self.settled[c]
 
+    def split(self, t: str) -> list[str] | None:
+        """The words of a token; None where the pattern may see letters otherwise than the tokeniser."""
+        if t.isalpha() and max(t) < LATIN_END:
+            return [t]
+        if t[-1] in MARKS and t[:-1].isalpha() and max(t) < LATIN_END:
+            return [t[:-1], t[-1]]
+        return self.find(t) if t.isascii() or all(map(self.old, t)) else None
+
     def learn(self, tokens: set[str]) -> None:
-        parts = {t: [t] if t.isascii() and t.isalpha() else self.find(t) if t.isascii() or all(map(self.old, t)) else None for t in tokens}
+        parts = {t: self.split(t) for t in tokens}
         some = list({w for ws in parts.values() if ws for w in ws if w not in self.words})
-        ready = [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for w in some]
-        self.words.update((w, array("I", f.ids).tobytes()) for w, f in zip(some, self.model.encode_batch_fast(ready, add_special_tokens=False), strict=True))
+        for at in range(0, len(some), 512):
+            words = some[at:at + 512]
+            ready = [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for w in words]
+            ids = np.array(self.model.encode_batch_fast([" ".join(ready)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]  # each word ends with an id of word ends
+            if len(ends) != len(words) + 1:
+                raise ValueError("the vocabulary has words without an end")
+            found = ids.tobytes()
+            self.words.update((w, found[ends[k]:ends[k + 1]]) for k, w in enumerate(words))
+        known = self.words
         self.tokens.update((t, array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if ws is None else
-                            self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])) for t, ws in parts.items())
+                            known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for t, ws in parts.items())
 
 
 class Packer:
