@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 OPEN_LIMIT = 8192  # open windows a task holds before it pours their content together; a memory bound, no document is dropped
-TOKEN_CACHE = 300_000  # distinct tokens a worker remembers, and as many from before
+TOKEN_CACHE = 400_000  # distinct tokens a worker remembers, and as many from before
 TEXTS = 256  # texts that are taken together
 # Characters that str.split or str.lower treat otherwise than the tokeniser.
 ODD = "\x1c\x1d\x1e\x1f\x85\u0130\u03a3"
@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordTokens:
     """Token ids of texts. The vocabulary's model sees one word at a time, so ids are remembered by word.
 
-    Two maps hold little-endian 32-bit ids: by blank-separated token, and by the words that the pattern finds in it.
+    A map holds little-endian 32-bit ids by blank-separated token, and by word that the pattern finds in one.
     """
     held: ClassVar[dict[str, WordTokens]] = {}
 
@@ -58,13 +58,12 @@ class WordTokens:
         self.find = regex.compile(WORD).findall
         self.tokens: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # those of the time before, from where what is seen again comes back
-        self.words: dict[str, bytes] = {}
         self.settled: dict[str, bool] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """As whole.encode(text, add_special_tokens=False).ids for each text."""
         if len(self.tokens) > TOKEN_CACHE:
-            self.before, self.tokens, self.words = self.tokens, {}, {}
+            self.before, self.tokens = self.tokens, {}
         # Texts that normalisation changes beyond str.lower and blanks, or that name special ids, go to the tokeniser whole.
         split = [None if any(c in t for c in ODD) or any(s in t for s in self.specials) or not unicodedata.is_normalized("NFC", t) else t.lower().split()
                  for t in texts]
@@ -86,29 +85,45 @@ class WordTokens:
             self.settled[c] = unicodedata.ucd_3_2_0.category(c) != "Cn"
         return self.settled[c]
 
-    def split(self, t: str) -> list[str] | None:
-        """The words of a token; None where the pattern may see letters otherwise than the tokeniser."""
-        if t.isalpha() and max(t) < LATIN_END:
-            return [t]
-        if t[-1] in MARKS and t[:-1].isalpha() and max(t) < LATIN_END:
-            return [t[:-1], t[-1]]
-        return self.find(t) if t.isascii() or all(map(self.old, t)) else None
-
     def learn(self, tokens: set[str]) -> None:
-        parts = {t: self.split(t) for t in tokens}
-        some = list({w for ws in parts.values() if ws for w in ws if w not in self.words})
+        """Remember the ids of new tokens. Words are tokens too, so that those found in one serve as such later."""
+        need, parts = set(), {}
+        for t in tokens:
+            plain = t.isascii() or max(t) < LATIN_END
+            if plain and t.isalpha():
+                need.add(t)
+            elif plain and t[-1] in MARKS and t[:-1].isalpha():
+                parts[t] = (t[:-1], t[-1])
+            elif plain or all(map(self.old, t)):
+                words = self.find(t)
+                if words == [t]:
+                    need.add(t)
+                else:
+                    parts[t] = words
+            else:  # the pattern may see letters otherwise than the tokeniser
+                self.tokens[t] = array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes()
+        known, before = self.tokens, self.before
+        for words in parts.values():
+            for w in words:
+                if w not in known and w not in need:
+                    if w in before:
+                        known[w] = before[w]
+                    else:
+                        need.add(w)
+        some = list(need)
         for at in range(0, len(some), 512):
             words = some[at:at + 512]
             ready = [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for w in words]
             ids = np.array(self.model.encode_batch_fast([" ".join(ready)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]  # each word ends with an id of word ends
-            if len(ends) != len(words) + 1:
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()  # each word ends with an id of word ends
+            if len(ends) != len(words):
                 raise ValueError("the vocabulary has words without an end")
-            found = ids.tobytes()
-            self.words.update((w, found[ends[k]:ends[k + 1]]) for k, w in enumerate(words))
-        known = self.words
-        self.tokens.update((t, array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if ws is None else
-                            known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for t, ws in parts.items())
+            found, begin = ids.tobytes(), 0
+            for w, end in zip(words, ends, strict=True):
+                known[w] = found[begin:end]
+                begin = end
+        for t, words in parts.items():
+            known[t] = b"".join([known[w] for w in words])
 
 
 class Packer:
