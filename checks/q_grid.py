@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from perilframe import assumptions as A
 from perilframe.functions import geo
-from perilframe.operators import gates, grid, keyed
+from perilframe.operators import gates, grid, keyed, scoring
 from perilframe.operators.spatial import near_any_site
 from perilframe.plans import standin as S
 
@@ -229,3 +229,25 @@ SELECT scenario, """ + ", ".join(f"CAST(sum(CASE WHEN hazard='{h}' THEN n ELSE 0
   OR (hazard='prain' AND sc.scenario='present') GROUP BY 1,2) GROUP BY 1"""))
 def coverage_pivot(spark, sf):
     return gates.coverage_pivot(S.hazard_grid(spark, sf))
+
+
+_west, _north, _dx, _dy = S.DEM_FRAME
+_at = lambda lat, lon: f"CAST(floor(({d(_north)}-{lat}-{d(0.0)})/{d(_dy)}) AS BIGINT) AS iy, CAST(floor(({lon}-{d(_west)})/{d(_dx)}) AS BIGINT) AS ix"
+_dem = {"dem0": f"SELECT iy, ix, max(v) AS v FROM (SELECT {_at('lat', 'lon')}, CASE WHEN centroid_id%13=0 THEN {d(S.DEM_NODATA)} ELSE p_size/{d(2.0)}-4 END AS v FROM cen) GROUP BY 1,2",
+        "dem": f"SELECT * FROM dem0 WHERE v<>{d(S.DEM_NODATA)}",
+        "sgnd": f"SELECT s.site_key, s.hy, s.hx, round_even(e.v,1) AS ground FROM (SELECT site_key, {_at('latitude', 'longitude')}, CAST(round_even(latitude/{d(DEG)},0) AS BIGINT) AS hy, CAST(round_even(longitude/{d(DEG)},0) AS BIGINT) AS hx FROM sites) s LEFT JOIN dem e USING (iy, ix)",
+        "spots": f"SELECT hy, hx, {_at(f'(hy*{d(DEG)}+(j-{d(2.0)})/{d(5.0)}*{d(DEG)})', f'(hx*{d(DEG)}+(i-{d(2.0)})/{d(5.0)}*{d(DEG)})')} FROM (SELECT DISTINCT hy, hx FROM sgnd), range(5) a(j), range(5) b(i)",
+        "cgnd": "SELECT hy, hx, round_even(avg(v) FILTER (WHERE v>=0),1) AS cell FROM spots LEFT JOIN dem USING (iy, ix) GROUP BY 1,2"}
+
+
+@register("raster_ground", query(f"""
+SELECT site_key, ground AS ground_elev_m, cell AS cell_ground_elev_m, {rnd('CASE WHEN ground IS NOT NULL AND cell IS NOT NULL THEN least(greatest(ground-cell,-10),10) END', 1)} AS relief_m FROM sgnd JOIN cgnd USING (hy, hx)""", _dem))
+def raster_ground(spark, sf):
+    """Ground at each site and over its hazard cell from an elevation raster, and the relief between them."""
+    df = grid.ground_from_raster(S.sites(spark, sf), S.dem(spark, sf), S.DEM_FRAME, DEG, S.DEM_NODATA)
+    return df.withColumn("relief_m", r(geo.relief(F.col("ground_elev_m"), F.col("cell_ground_elev_m"), A.RELIEF_CLAMP_M), 1))
+
+
+@register("sites_outside_regions", query(f"SELECT site_key, name, latitude, longitude FROM sites WHERE ({box('latitude', 'longitude', A.PORTFOLIO_BOXES, 'NULL')}) IS NULL"))
+def sites_outside_regions(spark, sf):
+    return scoring.sites_outside_regions(S.sites(spark, sf))

@@ -128,7 +128,7 @@ def event_set_sparse(spark, sf):
 @register("event_set_parts", query(f"SELECT scenario, country, source, weight, {rnd('aal', 0)} AS aal_usd, {rnd('kept', 0)} AS kept_aal_usd FROM parts"))
 def event_set_parts(spark, sf):
     im = impact(spark, sf)
-    return rounded(losses.event_set_parts(im.joint, im.weights), {"aal_usd": 0, "kept_aal_usd": 0})
+    return rounded(losses.event_set_parts(im.joint, im.weights, im.sites), {"aal_usd": 0, "kept_aal_usd": 0})
 
 
 @register("weights_normalised", query(f"SELECT scenario, source, {rnd('weight', 6)} AS weight FROM weights"))

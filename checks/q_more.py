@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from perilframe import assumptions as A
 from perilframe.operators import adaptation as ad
 from perilframe.operators import finance as fo
-from perilframe.operators import gates, losses, payoff, planning, sensitivity, tcor
+from perilframe.operators import claims, gates, losses, payoff, planning, sensitivity, tcor
 from perilframe.plans import impact as I
 from perilframe.plans import standin as S
 from perilframe.sources import sinks
 
 from .context import DEG, S2, events, fin, impact, insured, location_ladders, measures, r, rounded, scored
-from .q_impact import catalog_averted
+from .q_impact import _cat, catalog_averted
 from .q_score import X2, _mrows
 from .q_tcor import Model
 from .registry import register
-from .sql_parts import CTE, d, hav, query, rnd, values, wind_mdd
+from .sql_parts import CTE, d, flood_mdd, hav, pond, query, rnd, values, wind_mdd
 
 
 # --- gates --------------------------------------------------------------------------------------
@@ -73,7 +73,7 @@ def gate_pack_findings(spark, sf):
     port = e.groupBy("scenario").agg(F.sum("acute").alias("direct_aal"), *[F.sum(p).alias(p) for p in A.ACUTE])
     sums = e.groupBy("scenario").agg(F.sum("acute").alias("site_sum"))
     curves = im.curves().where("peril = 'acute'").select("scenario", "ladder")
-    parts = losses.event_set_parts(im.joint, im.weights)
+    parts = losses.event_set_parts(im.joint, im.weights, im.sites)
     joint = im.storm_ead.groupBy("scenario").agg(F.sum("joint").alias("joint"))
     out = gates.pack_findings(port, sums, curves).unionByName(gates.event_findings(events(spark, sf), parts, im.sites, joint))
     return out.unionByName(gates.ladder_findings(im.ladders(("tc_joint", "prain")))).unionByName(gates.site_loss_findings(im.site_return_losses()))
@@ -146,29 +146,67 @@ def v_half_sweep(spark, sf):
     return rounded(sensitivity.v_half_sweep(_wind_rows(spark, sf), 5.0), {"wind_aal": 0})
 
 
-@register("fitted_curve")
+_wind_now = f"wind w JOIN cat c USING (source, event_id) JOIN site_cell m USING (centroid_id) JOIN knobs k USING (site_key)"
+_model = lambda v: f"sum(c.freq*least({wind_mdd('w.intensity', v)}*k.wind_mult,1)*k.asset_value_usd)"
+_calib = {"fixed": "SELECT (SELECT sum(cflood+rflood) FROM site_ead WHERE scenario='present') AS f, (SELECT sum((c_acctbal+1000)*20) FROM customer) AS o, (SELECT count(*) FROM customer) AS n",
+          "own": f"SELECT {_model('k.v_half')} AS a FROM {_wind_now} WHERE w.source='present'",
+          "coarse": f"SELECT v, a+f AS m FROM (SELECT v.v, {_model('v.v')} AS a FROM {_wind_now} CROSS JOIN (SELECT CAST(unnest(range(40,151)) AS DOUBLE) AS v) v WHERE w.source='present' GROUP BY 1), fixed",
+          "start": "SELECT max(v) AS v0 FROM coarse, fixed WHERE m>=o",
+          "fine": f"SELECT v, a+f AS m FROM (SELECT v.v, {_model('v.v')} AS a FROM {_wind_now} CROSS JOIN (SELECT v0+i*{d(0.01)} AS v FROM start, (SELECT unnest(range(101)) AS i)) v WHERE w.source='present' GROUP BY 1), fixed",
+          "cross_": "SELECT max(v+(m-o)/(m-k)*(w-v)) AS fit FROM (SELECT v, m, lead(v) OVER (ORDER BY v) AS w, lead(m) OVER (ORDER BY v) AS k FROM fine), fixed WHERE m>=o AND k<o"}
+
+
+@register("fitted_curve", query(f"""
+SELECT n AS matched, {rnd('o', 0)} AS observed_usd, {rnd('a+f', 0)} AS modelled_usd, {rnd('o/(a+f)', 5)} AS bias,
+ {rnd("CASE WHEN o>=(SELECT max(m) FROM coarse) THEN 40 WHEN o<=(SELECT min(m) FROM coarse) THEN 150 ELSE fit END", 3)} AS fitted_v_half, {d(A.V_HALF)} AS published_v_half,
+ NOT (o<(SELECT max(m) FROM coarse) AND o>(SELECT min(m) FROM coarse)) AS clipped, NOT (o/(a+f) BETWEEN 0.5 AND 2) AS review FROM fixed, own, cross_""", _calib))
 def fitted_curve(spark, sf):
-    """Half-damage speed whose present-day wind loss is ninety percent of the model's."""
-    sweep = sensitivity.v_half_sweep(_wind_rows(spark, sf), 1.0)
-    now = impact(spark, sf).source_ead.where("source = 'present'").agg((F.sum("tc") * 0.9).alias("total"))
-    fixed = now.select(F.lit(0.0).alias("flood_fixed"))
-    return sensitivity.fit_v_half(sweep, now, fixed)
+    """Half-damage speed fitted to the observed losses of all sites, with the bias of the model as it is."""
+    im = impact(spark, sf)
+    rows = im.compact("present").where("peril = 'tc'").join(im.sites.select("site_key", "wind_mult", "v_half", "asset_value_usd"), "site_key")
+    flood = im.site_ead.where("scenario = 'present'").select("site_key", (F.col("cflood") + F.col("rflood")).alias("flood_usd"))
+    pairs = claims.backtest(im.site_ead.where("scenario = 'present'").select("site_key", F.col("acute").alias("ead")), im.sites, S.observed(spark, sf))
+    df = sensitivity.calibration(rows, flood, pairs)
+    return rounded(df, {"observed_usd": 0, "modelled_usd": 0, "bias": 5, "fitted_v_half": 3})
+
+
+_u = lambda k: (f"({d(A.MC_FACTORS[k][0])}+(CAST((((i+1)*{sensitivity.DRAWS[k][1]})%{sensitivity.PRIME}*(i+1+{sensitivity.DRAWS[k][2]}))%{sensitivity.PRIME} AS DOUBLE)/{d(float(sensitivity.PRIME))})"
+                f"*({d(A.MC_FACTORS[k][1])}-{d(A.MC_FACTORS[k][0])}))")
 
 
-_draw_n = 60
-_draws = [{"sample": i, "haz_mult": .92 + .16 * ((i * 7919 + 104729) % 10007) / 10007, "dmg_scale": .7 + .7 * ((i * 7919 + 2 * 104729) % 10007) / 10007,
-           "exp_mult": .85 + .3 * ((i * 7919 + 3 * 104729) % 10007) / 10007} for i in range(_draw_n)]
+def _factor_sql(scen: str, table: str) -> str:
+    """Annual damage of every peril for each row (id, h, g, e) of a table of factors."""
+    w = f"(SELECT source, weight FROM weights WHERE scenario='{scen}')"
+    at = f"JOIN site_cell m USING (centroid_id) JOIN knobs k USING (site_key) CROSS JOIN {table} s"
+    flood = lambda depth, fb: f"least({flood_mdd(depth, fb, 'k.flood_cap')}*s.g,1)*k.asset_value_usd*s.e"
+    return f"""
+SELECT '{scen}' AS scenario, id, sum(t) AS t FROM (
+ SELECT s.id, c.freq*w.weight*least({wind_mdd('x.intensity*s.h', 'k.v_half')}*k.wind_mult*s.g,1)*k.asset_value_usd*s.e AS t FROM wind x JOIN cat c USING (source, event_id) JOIN {w} w USING (source) {at}
+ UNION ALL SELECT s.id, c.freq*w.weight*{flood('greatest(x.depth*s.h,0)', 'k.fb_coast')} FROM surge x JOIN cat c USING (source, event_id) JOIN {w} w USING (source) {at}
+ UNION ALL SELECT s.id, c.freq/n*{flood('greatest(x.depth*s.h,0)', 'k.fb_river')} FROM river x JOIN cat c USING (event_id) JOIN river_n USING (scenario) {at} WHERE x.scenario='{scen}'
+ UNION ALL SELECT s.id, c.freq*{flood(pond(f"x.mm*{d(1 + .07 * A.WARMING[scen])}*s.h"), 'k.fb_rain')} FROM rain x JOIN cat c USING (event_id) {at}
+ UNION ALL SELECT s.id, least(f.p*s.h,1)*least(f.loss/k.asset_value_usd*s.g,1)*k.asset_value_usd*s.e FROM fire_l f JOIN knobs k USING (site_key) CROSS JOIN {table} s WHERE f.scenario='{scen}' AND k.asset_value_usd>0)
+GROUP BY 2"""
+
+
+_mc = {"draws": f"SELECT i AS id, {_u('haz')} AS h, {_u('dmg')} AS g, {_u('exp')} AS e FROM (SELECT unnest(range({A.MC_SAMPLES})) AS i)",
+       "ends": f"SELECT * FROM {values([(f'{k}:{side}', *[A.MC_FACTORS[k][i] if k == f else 1.0 for f in A.MC_FACTORS]) for k in A.MC_FACTORS for i, side in enumerate(('lo', 'hi'))])} t(id, h, g, e)",
+       **{f"mc{i}": _factor_sql(sc, "draws") for i, sc in enumerate(S2)}, **{f"end{i}": _factor_sql(sc, "ends") for i, sc in enumerate(S2)}}
 
 
 @register("mc_bands", query(f"""
-SELECT {rnd('quantile_cont(t,0.05)', 0)} AS p5, {rnd('quantile_cont(t,0.5)', 0)} AS p50, {rnd('quantile_cont(t,0.95)', 0)} AS p95 FROM
-(SELECT s.i, sum(c.freq*least({wind_mdd('w.intensity*s.h', 'k.v_half')}*k.wind_mult*s.g,1)*k.asset_value_usd*s.e) AS t FROM wind w JOIN cat c USING (source, event_id) JOIN site_cell m USING (centroid_id) JOIN knobs k USING (site_key)
- CROSS JOIN {values([(x['sample'], x['haz_mult'], x['dmg_scale'], x['exp_mult']) for x in _draws])} s(i,h,g,e) WHERE w.source='present' GROUP BY 1)"""))
+SELECT scenario, {rnd('quantile_cont(t,0.05)', 0)} AS p5, {rnd('quantile_cont(t,0.5)', 0)} AS p50, {rnd('quantile_cont(t,0.95)', 0)} AS p95 FROM
+(SELECT * FROM mc0 UNION ALL SELECT * FROM mc1) GROUP BY 1""", _mc))
 def mc_bands(spark, sf):
-    """Wind loss bands over a given table of sixty joint draws."""
-    rows = _wind_rows(spark, sf).join(impact(spark, sf).sites.select("site_key", "v_half"), "site_key")
-    totals = sensitivity.sampled_total(rows, _draws, lambda x: F.col("freq") * losses.wind_loss(x, "x"))
-    return rounded(sensitivity.bands(totals), {"p5": 0, "p50": 0, "p95": 0})
+    """Bands of annual acute damage over three hundred joint draws, all perils."""
+    return rounded(sensitivity.bands(impact(spark, sf).sampled_aal(S2), by=["scenario"]), {"p5": 0, "p50": 0, "p95": 0})
+
+
+@register("mc_drivers", query(f"""
+SELECT scenario, split_part(id,':',1) AS factor, {rnd('max(t)-min(t)', 0)} AS swing FROM (SELECT * FROM end0 UNION ALL SELECT * FROM end1) GROUP BY 1,2""", _mc))
+def mc_drivers(spark, sf):
+    """Swing of annual acute damage between the ends of each factor, one at a time."""
+    return rounded(impact(spark, sf).driver_swings(S2), {"swing": 0})
 
 
 @register("year_loss_table")
@@ -185,18 +223,39 @@ def year_loss_table(spark, sf):
     return sensitivity.year_summary(table)
 
 
-@register("capital_plan_phased")
-def capital_plan_phased(spark, sf):
-    projects = I.catalog_projects(catalog_averted(spark, sf)).withColumn("portfolio_id", F.lit(0).cast("long"))
-    top = planning.plan_candidates(projects)
-    reno = S.sites(spark, sf).select("site_key", planning.renovation_year().alias("reno_year"))
-    return planning.phase(top.join(reno, "site_key", "left"), 400000.0)
+_YEARLY = 50_000_000
+_plan = {**_cat, "plan0": f"""
+SELECT coalesce(s.named_insured,'Unspecified') AS portfolio, c.site_key, c.name, c.measure, s.wish, round(c.bcr0,3) AS bcr,
+ CASE WHEN s.wish IS NULL THEN round(c.cost,2) ELSE round(round(c.cost,2)*{d(A.RENOVATION_SYNERGY)},2) END AS cost
+FROM cproj c JOIN (SELECT site_key, named_insured, CASE WHEN renovation_year BETWEEN 2026 AND 2028 THEN CAST(renovation_year-2025 AS INTEGER) END AS wish FROM sites) s USING (site_key)"""}
 
 
-@register("action_queue_budget")
+@register("capital_plan_phased", query(f"""
+SELECT portfolio, row_number() OVER (PARTITION BY portfolio ORDER BY year IS NULL, k) AS position, site_key, name, measure, {rnd('cost', 2)} AS cost, {rnd('bcr', 3)} AS bcr, wish IS NOT NULL AS synergy, year, year IS NULL AS deferred
+FROM (WITH RECURSIVE o AS MATERIALIZED (SELECT *, CAST(round(cost*100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY portfolio ORDER BY bcr DESC, name, measure) AS k FROM plan0),
+ f AS (SELECT DISTINCT portfolio, CAST(0 AS BIGINT) AS k, CAST({_YEARLY * 100} AS BIGINT) AS a, CAST({_YEARLY * 100} AS BIGINT) AS b, CAST({_YEARLY * 100} AS BIGINT) AS c, CAST(NULL AS INTEGER) AS year FROM o
+  UNION ALL SELECT portfolio, k, a-CASE WHEN y=1 THEN cents ELSE 0 END, b-CASE WHEN y=2 THEN cents ELSE 0 END, c-CASE WHEN y=3 THEN cents ELSE 0 END, y FROM
+   (SELECT f.portfolio, o.k, f.a, f.b, f.c, o.cents, CASE WHEN wish=1 AND cents<=a THEN 1 WHEN wish=2 AND cents<=b THEN 2 WHEN wish=3 AND cents<=c THEN 3 WHEN cents<=a THEN 1 WHEN cents<=b THEN 2 WHEN cents<=c THEN 3 END AS y
+    FROM f JOIN o ON o.portfolio=f.portfolio AND o.k=f.k+1))
+ SELECT o.*, f.year FROM f JOIN o ON o.portfolio=f.portfolio AND o.k=f.k)""", _plan))
+def capital_plan_phased(spark, sf):
+    """Every fundable project of every named insured, phased under a yearly budget each."""
+    reno = S.sites(spark, sf).select("site_key", F.coalesce("named_insured", F.lit("Unspecified")).alias("portfolio"), planning.renovation_year().alias("reno_year"))
+    projects = I.catalog_projects(catalog_averted(spark, sf)).join(reno, "site_key")
+    plan = planning.phase(projects, float(_YEARLY))
+    return rounded(plan.select("portfolio", "position", "site_key", "name", "measure", "cost", "bcr", "synergy", "year", "deferred"), {"cost": 2, "bcr": 3})
+
+
+@register("action_queue_budget", query(f"""
+SELECT scenario, site_key, measure, {rnd('cost', 2)} AS cost, {rnd('bcr', 6)} AS bcr, coalesce(funded,false) AS funded
+FROM (WITH RECURSIVE o AS MATERIALIZED (SELECT scenario, site_key, ord, CAST(round(cost*100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY scenario ORDER BY round(bcr,6) DESC, site_key, ord) AS k FROM mrow WHERE round(bcr,6)>=1),
+ f AS (SELECT DISTINCT scenario, CAST(0 AS BIGINT) AS k, CAST({_YEARLY * 100} AS BIGINT) AS a, false AS funded FROM o
+  UNION ALL SELECT f.scenario, o.k, a-CASE WHEN cents<=a THEN cents ELSE 0 END, cents<=a FROM f JOIN o ON o.scenario=f.scenario AND o.k=f.k+1)
+ SELECT m.*, f.funded FROM mrow m LEFT JOIN o USING (scenario, site_key, ord) LEFT JOIN f ON f.scenario=o.scenario AND f.k=o.k)""", _mrows))
 def action_queue_budget(spark, sf):
-    rows = measures(spark, sf, S2).where("scenario = 'present'").withColumn("action_id", F.col("site_key") * 16 + F.col("ordinal"))
-    return ad.fund_within_budget(rows, 50_000_000.0).select("site_key", "measure", "cost", "bcr", "funded")
+    rows = measures(spark, sf, S2).withColumn("action_id", F.col("site_key") * 16 + F.col("ordinal")).withColumn("bcr", r("bcr", 6))
+    done = ad.fund_within_budget(rows, float(_YEARLY), by=["scenario"])
+    return rounded(done.select("scenario", "site_key", "measure", "cost", "bcr", "funded"), {"cost": 2, "bcr": 6})
 
 
 @register("payoff_split")
@@ -205,3 +264,23 @@ def payoff_split(spark, sf):
     f = fin(spark, sf)
     pay = payoff.payoffs(f, tcor.interim_ladders(f), insured(spark, sf))
     return pay.groupBy("scenario", "measure").agg(F.count("*").alias("sites"), F.sum("certain").alias("certain"), F.sum("premium_saving").alias("premium_saving"))
+
+
+_scope = {**_mrows, "whole": "SELECT scenario FROM mrow GROUP BY 1 HAVING count(DISTINCT measure)=(SELECT count(DISTINCT measure) FROM mrow)"}
+
+
+@register("plan_scenario", query(f"""
+SELECT scenario, count(*) AS actions, {rnd('sum(cost)', 0)} AS cost FROM mrow
+WHERE scenario=(SELECT scenario FROM whole ORDER BY CASE scenario WHEN 'ssp245_2050' THEN 0 WHEN 'present' THEN 1 END LIMIT 1) GROUP BY 1""", _scope))
+def plan_scenario(spark, sf):
+    """Actions of the scenario that capital plans are appraised on."""
+    rows = planning.plan_scenario(measures(spark, sf))
+    return rows.groupBy("scenario").agg(F.count("*").alias("actions"), r(F.sum("cost"), 0).alias("cost"))
+
+
+@register("payback_order", query("""
+SELECT scenario, row_number() OVER (PARTITION BY scenario ORDER BY p NULLS LAST, name, measure) AS position, site_key, measure, p AS payback_years
+FROM (SELECT *, CASE WHEN round(averted,4)>0 THEN round(round(cost,2)/round(averted,4),6) END AS p FROM mrow)""", _mrows))
+def payback_order(spark, sf):
+    rows = measures(spark, sf).withColumn("averted", r("averted", 4)).withColumn("cost", r("cost", 2))
+    return planning.payback_order(rows, ["scenario"]).select("scenario", "position", "site_key", "measure", "payback_years")

@@ -341,10 +341,10 @@ def site_match_tiers(spark, sf):
 
 
 _ead_now = "(SELECT site_key, ead FROM sc WHERE scenario='present')"
-_obs = f"SELECT c_name AS observed_name, c_custkey AS site_key, (c_acctbal+1000)*20 AS observed FROM customer WHERE c_custkey%10=0"
+_obs = f"SELECT c_name AS observed_name, c_custkey AS site_key, (c_acctbal+1000)*20 AS observed FROM customer"
 
 
-@register("backtest_pairs", query(f"SELECT o.observed_name, o.site_key, {rnd('e.ead', 2)} AS modelled, {rnd('o.observed', 2)} AS observed, {rnd('o.observed/e.ead', 5)} AS ratio FROM ({_obs}) o JOIN {_ead_now} e USING (site_key)", X2))
+@register("backtest_pairs", query(f"SELECT o.observed_name, o.site_key, {rnd('e.ead', 2)} AS modelled, {rnd('o.observed', 2)} AS observed, {rnd('CASE WHEN e.ead>0 THEN o.observed/e.ead END', 5)} AS ratio FROM ({_obs}) o JOIN {_ead_now} e USING (site_key)", X2))
 def backtest_pairs(spark, sf):
     now = scored(spark, sf).where("scenario = 'present'")
     return rounded(cl.backtest(now, S.sites(spark, sf), S.observed(spark, sf)), {"modelled": 2, "observed": 2, "ratio": 5})

@@ -185,16 +185,16 @@ FROM (SELECT source, site_key, sum(freq*wind_loss) AS tc, sum(freq*surge_loss) A
 JOIN weights w USING (source) GROUP BY 1,2"""
 CTE["river_n"] = "SELECT scenario, count(DISTINCT member) AS n FROM river GROUP BY 1"
 CTE["river_l"] = f"""
-SELECT r.scenario, r.member, r.event_id, k.site_key, c.freq, {flood_mdd('r.depth', 'k.fb_river', 'k.flood_cap')}*k.asset_value_usd AS loss
+SELECT r.scenario, r.member, r.event_id, k.site_key, k.country, c.freq, {flood_mdd('r.depth', 'k.fb_river', 'k.flood_cap')}*k.asset_value_usd AS loss
 FROM river r JOIN site_cell m USING (centroid_id) JOIN knobs k USING (site_key) JOIN cat c USING (event_id)"""
 CTE["rain_l"] = f"""
-SELECT sc.scenario, r.event_id, k.site_key, c.freq,
+SELECT sc.scenario, r.event_id, k.site_key, k.country, c.freq,
  {flood_mdd(pond('r.mm*sc.rain_k'), 'k.fb_rain', 'k.flood_cap')}*k.asset_value_usd AS loss
 FROM rain r JOIN site_cell m USING (centroid_id) JOIN knobs k USING (site_key) JOIN cat c USING (event_id), scen sc"""
 _cond = (f"CASE WHEN cfl IS NULL OR cfl<0 THEN {d(0.35)} WHEN cfl<=2 THEN {d(0.02)} WHEN cfl<=4 THEN {d(0.1)} "
          f"WHEN cfl<=8 THEN {d(0.3)} WHEN cfl<=12 THEN {d(0.55)} ELSE {d(0.8)} END")
 CTE["fire_l"] = f"""
-SELECT sc.scenario, k.site_key, least(r.bp*sc.fire_k,1) AS p, least(({_cond})*k.fire_vuln,1)*k.asset_value_usd AS loss
+SELECT sc.scenario, k.site_key, k.country, least(r.bp*sc.fire_k,1) AS p, least(({_cond})*k.fire_vuln,1)*k.asset_value_usd AS loss
 FROM raster r JOIN site_cell m USING (centroid_id) JOIN knobs k USING (site_key), scen sc WHERE r.bp IS NOT NULL"""
 CTE["site_peril"] = """
 SELECT scenario, site_key, 'tc' AS peril, tc AS ead FROM storm_ead
@@ -225,13 +225,14 @@ def curve(src: str, keys: str, loss: str = "loss", order: str = "event_id", freq
 
 CTE["storm_curve"] = f"""
 SELECT w.scenario, e.rp, sum(e.loss*w.weight) AS loss FROM
-({curve('(SELECT source, event_id, freq, sum(loss) AS loss FROM joint GROUP BY 1,2,3)', 'source')}) e JOIN weights w USING (source) GROUP BY 1,2"""
+({curve('(SELECT country, source, event_id, freq, sum(loss) AS loss FROM joint GROUP BY 1,2,3,4)', 'country, source')}) e JOIN weights w USING (source) GROUP BY 1,2"""
 CTE["river_curve"] = f"""
 SELECT e.scenario, e.rp, sum(e.loss/n) AS loss FROM
-({curve('(SELECT scenario, member, event_id, freq, sum(loss) AS loss FROM river_l GROUP BY 1,2,3,4)', 'scenario, member')}) e
+({curve('(SELECT scenario, member, country, event_id, freq, sum(loss) AS loss FROM river_l GROUP BY 1,2,3,4,5)', 'scenario, member, country')}) e
 JOIN river_n USING (scenario) GROUP BY 1,2"""
-CTE["rain_curve"] = curve('(SELECT scenario, event_id, freq, sum(loss) AS loss FROM rain_l GROUP BY 1,2,3)', 'scenario')
-CTE["fire_curve"] = curve('fire_l', 'scenario', order='site_key', freq='p')
+CTE["rain_curve"] = f"""SELECT scenario, rp, sum(loss) AS loss FROM
+({curve('(SELECT scenario, country, event_id, freq, sum(loss) AS loss FROM rain_l GROUP BY 1,2,3,4)', 'scenario, country')}) GROUP BY 1,2"""
+CTE["fire_curve"] = f"SELECT scenario, rp, sum(loss) AS loss FROM ({curve('fire_l', 'scenario, country', order='site_key', freq='p')}) GROUP BY 1,2"
 
 
 def lad(src: str, keys: str, loss: str = "loss", rps: list[int] = A.LADDER_RPS) -> str:
@@ -244,14 +245,14 @@ CTE["lad_river"] = f"""
 SELECT e.scenario, e.site_key, e.rp, sum(e.loss/n) AS loss FROM ({lad('river_l', 'scenario, member, site_key')}) e JOIN river_n USING (scenario) GROUP BY 1,2,3"""
 CTE["lad_rain"] = lad('rain_l', 'scenario, site_key')
 CTE["parts"] = """
-SELECT scenario, country, source, aal, kept, round(w/sum(w) OVER (PARTITION BY scenario, country),6) AS weight FROM
-(SELECT w.scenario, j.country, j.source, any_value(w.weight) AS w, sum(j.freq*j.loss) AS aal,
-  sum(CASE WHEN j.loss>=1000 THEN j.freq*round(j.loss,2) ELSE 0 END) AS kept
- FROM joint j JOIN weights w USING (source) GROUP BY 1,2,3)"""
+SELECT w.scenario, n.country, w.source, round(w.weight,6) AS weight, coalesce(j.aal,0) AS aal, coalesce(j.kept,0) AS kept
+FROM weights w CROSS JOIN (SELECT DISTINCT country FROM sites) n LEFT JOIN
+(SELECT country, source, sum(freq*loss) AS aal, sum(CASE WHEN loss>=1000 THEN freq*round(loss,2) ELSE 0 END) AS kept FROM joint GROUP BY 1,2) j
+ON j.country=n.country AND j.source=w.source"""
 CTE["events_s"] = """
-SELECT p.scenario, j.country, j.source, p.weight, j.event_id,
+SELECT w.scenario, j.country, j.source, round(w.weight,6) AS weight, j.event_id,
  coalesce(j.event_name, j.source||':'||j.event_id) AS event, j.freq, j.site_key, round(j.loss,2) AS loss_usd
-FROM joint j JOIN parts p USING (source, country) WHERE j.loss>=1000 AND p.scenario IN ('present','ssp245_2050')"""
+FROM joint j JOIN weights w USING (source) WHERE j.loss>=1000 AND w.scenario IN ('present','ssp245_2050')"""
 
 # --- grid scoring -----------------------------------------------------------------------------
 

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from .. import assumptions as A
 from ..functions.common import share, total
 from ..functions.curves import annuity
+from . import budget as budget_ops
 from . import finance as fin_ops
-from .exceedance import cumulative
-from .lineage import cut
 from .scoring import NEUTRAL, peril_fractions
 
 # Measure settings at their defaults.
@@ -178,48 +177,19 @@ def fund_at_breakeven(rows: DataFrame) -> DataFrame:
     return rows.withColumn("funded", F.col("bcr") >= 1.0)
 
 
-def fund_within_budget(rows: DataFrame, budget: float, key: str = "action_id") -> DataFrame:
+def fund_within_budget(rows: DataFrame, budget: float, key: str = "action_id", by: list[str] | None = None, alone: int = budget_ops.ALONE) -> DataFrame:
     """Greedy funding by BCR under a budget, skipping what does not fit, as one sequential pass would.
 
-    Each round funds the longest affordable prefix of the remaining actions with a distributed
-    running total. The action that breaks the prefix cannot fit any more, and neither can any
-    other that costs more than what is left, so both drop out and the money left shrinks every
-    round. Equal BCRs are ordered by `key`, a unique long.
+    Each group of `by` (all rows without it) has the budget for itself. Actions below breakeven are never funded and take
+    no part. Equal BCRs are ordered by `key`, a unique long. Money counts in whole cents. See budget.fill for how the
+    pass is spread out.
     """
-    worth = rows.where(F.col("bcr") >= 1.0)
-    live = cut(worth.where(F.col("cost") > 0.0).select(key, "bcr", "cost"))
-    funded, left = worth.where(F.col("cost") <= 0.0).select(key), float(budget)
-    while True:
-        ranked = cut(_running(live.where(F.col("cost") <= left), key))
-        stop = (ranked.where(F.col("cum") > left)
-                .agg(F.min(F.struct((-F.col("bcr")).alias("b"), F.col(key).alias("k"))).alias("s")).first().s)
-        if stop is None:
-            funded = funded.unionByName(ranked.select(key))
-            break
-        bcr, at = -stop.b, stop.k
-        ahead = (F.col("bcr") > bcr) | ((F.col("bcr") == bcr) & (F.col(key) < at))
-        taken = ranked.where(ahead)
-        left -= taken.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
-        funded = funded.unionByName(taken.select(key))
-        live = ranked.where(~ahead & (F.col(key) != at)).select(key, "bcr", "cost")
-    return rows.join(funded.withColumn("funded", F.lit(True)), key, "left").fillna(False, ["funded"])
-
-
-def _running(live: DataFrame, key: str) -> DataFrame:
-    """Running cost in (bcr descending, key) order.
-
-    Distinct BCRs take their offset from the bucketed running total; actions that share one BCR
-    are split into key ranges with subtotals, so no window sees more than one range.
-    """
-    rows = live.withColumn("_k", F.lit(0)).withColumn("_range", F.floor(F.col(key) / 4096))
-    offset = cumulative(rows, ["_k"], "bcr", "cost").select("bcr", "cum_before")
-    prior = Window.partitionBy("bcr").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    part = (rows.groupBy("bcr", "_range").agg(F.sum("cost").alias("_c"))
-            .select("bcr", "_range", F.coalesce(F.sum("_c").over(prior), F.lit(0.0)).alias("_before")))
-    base = part.join(offset, "bcr").select("bcr", "_range", (F.col("_before") + F.col("cum_before")).alias("_base"))
-    upto = Window.partitionBy("bcr", "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.join(base, ["bcr", "_range"])
-            .select(key, "bcr", "cost", (F.col("_base") + F.sum("cost").over(upto)).alias("cum")))
+    keys = by or ["_all"]
+    worth = rows.where(F.col("bcr") >= 1.0).select(*([F.lit(0).alias("_all")] if not by else by), key, "bcr", budget_ops.cents(F.col("cost")).alias("cents"))
+    ranked = budget_ops.in_order(worth, keys, [F.col("bcr").desc(), F.col(key).asc()])
+    lines = budget_ops.fill(ranked.withColumn("wish", F.lit(None).cast("int")), keys, [round(budget * 100)], alone)
+    funded = ranked.join(lines.where("line is not null"), "seq").select(*(by or []), key, F.lit(True).alias("funded"))
+    return rows.join(funded, [*(by or []), key], "left").fillna(False, ["funded"])
 
 
 def queue_rollup(fin: DataFrame, queue: DataFrame, af: float = DEFAULT_ANNUITY) -> DataFrame:

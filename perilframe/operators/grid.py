@@ -11,7 +11,7 @@ from ..functions.curves import flame_damage
 from ..functions.geo import cell_index, in_regions
 from . import exceedance
 from .keyed import keep_one
-from .spatial import near_any_site
+from .spatial import near_any_site, sample_raster
 
 CELL = ["ix", "iy"]
 
@@ -195,6 +195,19 @@ def cell_samples(sites: DataFrame, deg: float = A.GRID_DEG, per_side: int = 5) -
                       (F.col("ix") * deg + step("_i")).alias("lon"))
 
 
+def ground_from_raster(sites: DataFrame, cells: DataFrame, frame: tuple[float, float, float, float], deg: float = A.GRID_DEG, nodata: float | None = None) -> DataFrame:
+    """site_key, ground_elev_m at the site and cell_ground_elev_m, the mean land ground of its hazard cell from 25 samples.
+
+    Samples are taken once per hazard cell, however many sites it holds.
+    """
+    at = sample_raster(sites.select("site_key", "latitude", "longitude"), cells, frame, nodata=nodata)
+    here = with_cell(at.withColumn("ground_elev_m", F.bround("value", 1)), deg, "latitude", "longitude")
+    spots = cell_samples(here.select(*CELL).distinct().select(F.struct(*CELL).alias("site_key"), (F.col("iy") * deg).alias("latitude"), (F.col("ix") * deg).alias("longitude")), deg)
+    seen = sample_raster(spots, cells, frame, lat="lat", lon="lon", nodata=nodata)
+    means = cell_mean_ground(seen.select("site_key.*", F.col("value").alias("ground_m")), CELL)
+    return here.join(means, CELL).select("site_key", "ground_elev_m", "cell_ground_elev_m")
+
+
 def dataset_year(ref_year: Column, year_range: Column, name: Column) -> Column:
     """Central year of a catalog entry: reference year, else mean of its range, else years in its name."""
     def mean_year(text: Column, pattern: str) -> Column:

@@ -133,22 +133,21 @@ def sparse_events(joint: DataFrame, floor_usd: float = A.EVENT_FLOOR_USD) -> Dat
             .withColumn("event", name).withColumn("loss_usd", money(F.col("loss"))))
 
 
-def event_set_parts(joint: DataFrame, weights: DataFrame, keys: list[str] = ["country"],
+def event_set_parts(joint: DataFrame, weights: DataFrame, places: DataFrame, keys: list[str] = ["country"],
                     floor_usd: float = A.EVENT_FLOOR_USD) -> DataFrame:
     """One row per scenario, country and source: weight, total AAL and the AAL kept by the floor.
 
-    Sources stay separate. Weights are normalised per scenario and country over the sources that
-    carry events there.
+    Sources stay separate. places has the countries that hold sites. Weights come from the catalog alone: a source whose
+    events reach no site of a country is a part of zero with its weight, so that the others are not scaled up for it.
     """
     kept = F.when((F.col("freq") > 0.0) & (F.col("loss") >= floor_usd),
                   F.col("freq") * money(F.col("loss"))).otherwise(0.0)
     per = joint.groupBy("source", *keys).agg(
         F.sum(F.col("freq") * F.col("loss")).alias("aal_usd"), F.sum(kept).alias("kept_aal_usd"))
-    parts = per.join(F.broadcast(weights), "source")
-    total = parts.groupBy("scenario", *keys).agg(F.sum("weight").alias("_w"))
-    return (parts.join(total, ["scenario", *keys])
-            .select("scenario", *keys, "source", F.bround(F.col("weight") / F.col("_w"), 6).alias("weight"),
-                    "aal_usd", "kept_aal_usd"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    parts = A.each_scenario(places.select(*keys).distinct()).join(weights, "scenario")
+    return (parts.join(per, ["source", *keys], "left")
+            .select("scenario", *keys, "source", F.bround("weight", 6).alias("weight"), zero("aal_usd"), zero("kept_aal_usd")))
 
 
 def insured_rollup(site_ead: DataFrame, sites: DataFrame, keys: list[str] = ["scenario"]) -> DataFrame:

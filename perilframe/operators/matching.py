@@ -11,12 +11,37 @@ from ..functions.common import blank_to_null
 from ..functions.profile import is_blank
 
 
-def substrings(x: Column) -> Column:
-    """All distinct substrings of a short text."""
-    n = F.length(x)
-    starts = F.sequence(F.lit(1), n)
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(x, i, k)))))
+GRAM = 4  # letters of the pieces by which names that may hold each other are looked up
+
+
+def grams(x: Column, n: int = GRAM) -> Column:
+    """Distinct pieces of n letters; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(x) - n + 1)
+    return F.when(F.length(x) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(x, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_probes(inner: DataFrame, outer: DataFrame, x: str, y: str) -> DataFrame:
+    """inner with _gram and its frequency _df among the texts y: the piece of x by which x is looked up in y.
+
+    A text that holds x holds all its pieces, so the piece that the fewest texts hold is enough. A text x with a piece
+    that none holds is in none and drops out. x shorter than a piece is looked up as it is.
+    """
+    df = outer.select(F.explode(grams(F.col(y))).alias("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
+    pieces = inner.where(F.length(x) >= GRAM).select(x, F.size(grams(F.col(x))).alias("_n"), F.explode(grams(F.col(x))).alias("_gram")).join(df, "_gram")
+    rarest = pieces.groupBy(x).agg(F.min(F.struct("_df", "_gram")).alias("_r"), F.count(F.lit(1)).alias("_met"), F.first("_n").alias("_n"))
+    probes = inner.join(rarest.where("_met = _n").select(x, "_r.*"), x)
+    return probes.unionByName(inner.where(F.length(x) < GRAM).select("*", F.lit(None).cast("long").alias("_df"), F.col(x).alias("_gram")))
+
+
+def contained_in(inner: DataFrame, outer: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows of inner and outer whose text x is a part of text y; both texts distinct and not empty.
+
+    An equi-join on pieces, of which a text has as many as letters, then a look at the whole texts. Words that many
+    names share are never looked up while a name has a rarer piece.
+    """
+    every = F.concat(grams(F.col(y)), *[grams(F.col(y), n) for n in range(1, GRAM)])
+    return (gram_probes(inner, outer, x, y).drop("_df").join(outer.withColumn("_gram", F.explode(every)), "_gram")
+            .where(F.contains(F.col(y), F.col(x))).drop("_gram"))
 
 
 def match_names(queries: DataFrame, sites: DataFrame, name: str, query_id: str | None = None,
@@ -24,8 +49,7 @@ def match_names(queries: DataFrame, sites: DataFrame, name: str, query_id: str |
     """Site per distinct query text: id equal, then normalised name equal, then containment.
 
     Within a tier the first site in order (lowest site_key) wins. Containment looks only at what
-    the first two tiers left over, and is an equi-join: one side lists its substrings, the other
-    is looked up whole, so a pair is produced only where one name really contains the other.
+    the first two tiers left over, through the rarest piece of the shorter name (contained_in).
     Result: the distinct query columns, site_key and tier (null when unmatched).
     """
     cols = [name] + ([query_id] if query_id else [])
@@ -41,10 +65,9 @@ def match_names(queries: DataFrame, sites: DataFrame, name: str, query_id: str |
         # a blank normalised name matches nothing, not even by id
         q = q.withColumn("_k1", F.when(F.col("_norm").isNotNull(), F.col("_k1")))
     left = q.where(F.col("_k1").isNull() & F.col("_k2").isNull() & F.col("_norm").isNotNull()).select("_norm").distinct()
-    inside = (left.withColumn("_part", F.explode(substrings(F.col("_norm"))))
-              .join(names.withColumnRenamed("_norm", "_part"), "_part").select("_norm", "_k2"))
-    around = (names.withColumn("_part", F.explode(substrings(F.col("_norm")))).select("_part", "_k2")
-              .join(left.withColumnRenamed("_norm", "_part"), "_part").select(F.col("_part").alias("_norm"), "_k2"))
+    sited = names.withColumnRenamed("_norm", "_site")
+    inside = contained_in(sited, left, "_site", "_norm").select("_norm", "_k2")
+    around = contained_in(left, sited, "_norm", "_site").select("_norm", "_k2")
     contained = inside.unionByName(around).groupBy("_norm").agg(F.min("_k2").alias("_k3"))
     q = q.join(contained, "_norm", "left")
     tier = F.when(F.col("_k1").isNotNull(), 1).when(F.col("_k2").isNotNull(), 2).when(F.col("_k3").isNotNull(), 3)

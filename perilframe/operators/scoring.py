@@ -14,7 +14,7 @@ from ..functions import interim, profile
 from ..functions.common import clamp, share, total
 from ..functions.curves import (band_of, damage_integral, depth_at_structure, flood_damage, ponding_depth,
                                 wind_damage)
-from ..functions.geo import relief
+from ..functions.geo import in_regions, relief
 from .spatial import nearest
 
 RPS = A.RETURN_PERIODS
@@ -48,6 +48,19 @@ def unknown_layers(grid: DataFrame) -> DataFrame:
     return grid.where(~known).groupBy("hazard", "scenario").agg(F.count(F.lit(1)).alias("cells"))
 
 
+def cell_sets(cells: DataFrame) -> dict[tuple[str, str], tuple[str, str]]:
+    """For each (hazard, grid_scenario), the first one whose cells are the same.
+
+    Sets are told apart by their size, sum and xor of cell hashes; there are as many rows as layers, which the
+    vocabularies bound.
+    """
+    print_ = F.xxhash64("lat", "lon")
+    rows = (cells.groupBy("hazard", "grid_scenario").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(print_).alias("x"), F.sum(print_.cast("decimal(20,0)")).alias("s"))
+            .orderBy("hazard", "grid_scenario").collect())
+    found: dict[tuple, tuple[str, str]] = {}
+    return {(r.hazard, r.grid_scenario): found.setdefault((r.n, r.x, r.s), (r.hazard, r.grid_scenario)) for r in rows}
+
+
 def grid_lookup(sites: DataFrame, grid: DataFrame, scenarios: list[str], deg: float = A.GRID_DEG,
                 layers: dict[str, list[str]] | None = None) -> DataFrame:
     """Nearest grid cell per site, hazard and scenario, within the snap limit.
@@ -62,13 +75,23 @@ def grid_lookup(sites: DataFrame, grid: DataFrame, scenarios: list[str], deg: fl
             from_sc = sc if sc in layers.get(h, []) else "present"
             if from_sc in layers.get(h, []):
                 serves.setdefault((h, from_sc), []).append(sc)
-    asked = [{"hazard": h, "grid_scenario": g} for h, g in serves]
-    points = (sites.select("site_key", "latitude", "longitude", F.explode(F.expr(A.sql_literal(asked))).alias("_a"))
-              .select("site_key", "latitude", "longitude", "_a.*"))
     key = F.concat_ws("|", "hazard", "grid_scenario")
     cells = grid.withColumnRenamed("scenario", "grid_scenario").where(key.isin([f"{h}|{g}" for h, g in serves]))
     cells = cells.withColumn("centroid_id", F.struct("lat", "lon"))
-    near = nearest(points, cells, deg=deg, by=("hazard", "grid_scenario")).where("covered")
+    # Layers of the same cells are looked up once, by the first of them.
+    leaders = cell_sets(cells)
+    asked = [{"hazard": h, "grid_scenario": g} for h, g in dict.fromkeys(leaders.values())]
+    if not asked:
+        asked, leaders = [{"hazard": h, "grid_scenario": g} for h, g in serves], {k: k for k in serves}
+    points = (sites.select("site_key", "latitude", "longitude", F.explode(F.expr(A.sql_literal(asked))).alias("_a"))
+              .select("site_key", "latitude", "longitude", "_a.*"))
+    first = cells.where(key.isin([f"{a['hazard']}|{a['grid_scenario']}" for a in asked]))
+    followers: dict[str, list[dict]] = {}
+    for (h, g), (lead_h, lead_g) in leaders.items():
+        followers.setdefault(f"{lead_h}|{lead_g}", []).append({"hazard": h, "grid_scenario": g})
+    near = nearest(points, first, deg=deg, by=("hazard", "grid_scenario")).where("covered")
+    same = F.explode(F.try_element_at(A.constant_map({k: v for k, v in followers.items()}), key)).alias("_a")
+    near = near.select("site_key", "centroid_id", "dist_km", "covered", same).select("site_key", "centroid_id", "dist_km", "covered", "_a.*")
     vec = cells.select("hazard", "grid_scenario", "centroid_id",
                        F.array(*[F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in A.V_COLS]).alias("v"))
     hit = near.join(vec, ["hazard", "grid_scenario", "centroid_id"])
@@ -343,3 +366,9 @@ def quadrant(scored: DataFrame) -> DataFrame:
     label = (F.when(rich & hot, "protect first").when(hot, "harden / transfer")
              .when(rich, "monitor").otherwise("accept"))
     return keyed.join(F.broadcast(mid), "scenario").withColumn("quadrant", label)
+
+
+def sites_outside_regions(sites: DataFrame) -> DataFrame:
+    """Sites that no region box holds, to be named rather than passed over; a site without coordinates is outside."""
+    inside = F.coalesce(in_regions(F.col("latitude"), F.col("longitude")), F.lit(False))
+    return sites.where(~inside).select("site_key", "name", "latitude", "longitude")

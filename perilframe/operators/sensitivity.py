@@ -23,58 +23,94 @@ def uniform(*key: Column | int | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / float(1 << 52)
 
 
-def samples(spark, n: int = A.MC_SAMPLES, seed: int = A.MC_SEED) -> DataFrame:
-    """Joint draws of the physical factors: sample, haz_mult, dmg_scale, exp_mult. n rows."""
-    names = {"haz": "haz_mult", "dmg": "dmg_scale", "exp": "exp_mult"}
-    draw = lambda k, lo, hi: (uniform(seed, k, F.col("id")) * (hi - lo) + lo).alias(names[k])
-    return spark.range(n).select(F.col("id").alias("sample"), *[draw(k, lo, hi) for k, (lo, hi) in A.MC_FACTORS.items()])
+PRIME = 1_000_003  # joint draws are remainders modulo it, so that any engine repeats them exactly
+DRAWS = {"haz": ("haz_mult", 7919, 104_729), "dmg": ("dmg_scale", 5573, 611_953), "exp": ("exp_mult", 3343, 350_377)}
 
 
-def sampled_total(rows: DataFrame, draws: list[dict], value) -> DataFrame:
-    """Portfolio total per sample. `draws` is the sample table as constants (a few hundred rows).
+def factors(sample: Column) -> list[Column]:
+    """haz_mult, dmg_scale and exp_mult of a sample number: products of two remainders, scattered over each factor's range."""
+    def one(key: str) -> Column:
+        name, a, b = DRAWS[key]
+        lo, hi = A.MC_FACTORS[key]
+        u = F.pmod(F.pmod((sample + 1) * a, F.lit(PRIME)) * (sample + 1 + b), F.lit(PRIME)) / float(PRIME)
+        return (u * (hi - lo) + lo).alias(name)
+    return [one(k) for k in A.MC_FACTORS]
+
+
+def sampled(rows: DataFrame, n: int = A.MC_SAMPLES) -> DataFrame:
+    """rows once per joint draw, with sample and its factors. Rows repeat inside the task; sum them by sample next."""
+    out = rows.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return out.select("*", *factors(F.col("sample")))
+
+
+def one_at_a_time(rows: DataFrame) -> DataFrame:
+    """rows at the low and high end of each factor with the others neutral: factor, side and the knob columns."""
+    neutral = {name: 1.0 for name, _, _ in DRAWS.values()}
+    sets = [{"factor": k, "side": side} | neutral | {DRAWS[k][0]: A.MC_FACTORS[k][i]} for k in A.MC_FACTORS for i, side in enumerate(("lo", "hi"))]
+    return rows.select("*", F.explode(F.expr(A.sql_literal(sets))).alias("_f")).select("*", "_f.*").drop("_f")
 
-    Rows meet the samples inside the task and are summed there; one row per sample leaves it.
-    """
-    out = rows.select("*", F.explode(F.expr(A.sql_literal(draws))).alias("_s")).select("*", "_s.*")
-    return out.groupBy("sample").agg(F.sum(value(out)).alias("total"))
 
+def swings(totals: DataFrame) -> DataFrame:
+    """totals (scenario, factor, side, total) -> scenario, factor, swing; a handful of rows."""
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("total")))
+    return totals.groupBy("scenario", "factor").agg(F.abs(side("hi") - side("lo")).alias("swing"))
 
-def bands(totals: DataFrame, column: str = "total") -> DataFrame:
+
+def bands(totals: DataFrame, column: str = "total", by: list[str] | None = None) -> DataFrame:
     """5th, 50th and 95th percentile with linear interpolation, over one row per sample."""
     q = F.percentile(column, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return totals.agg(q.alias("_q")).select(*[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(["p5", "p50", "p95"])])
+    return totals.groupBy(*(by or [])).agg(q.alias("_q")).select(*(by or []), *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(["p5", "p50", "p95"])])
 
 
-def v_half_sweep(rows: DataFrame, step: float = 1.0) -> DataFrame:
+def v_half_sweep(rows: DataFrame, step: float = 1.0, lo: float = A.V_HALF_LO, hi: float = A.V_HALF_HI) -> DataFrame:
     """Annual wind damage at every candidate half-damage speed, one pass over compact rows.
 
     rows: x (wind speed), freq, wind_mult, asset_value_usd.
     """
-    n = int(round((A.V_HALF_HI - A.V_HALF_LO) / step))
-    grid = [float(A.V_HALF_LO + i * step) for i in range(n + 1)]
+    n = int(round((hi - lo) / step))
+    grid = [float(lo + i * step) for i in range(n + 1)]
     out = rows.select("*", F.explode(F.expr(A.sql_literal(grid))).alias("v_half"))
     frac = F.least(wind_damage(F.col("x"), F.col("v_half")) * F.col("wind_mult"), F.lit(1.0))
     return out.groupBy("v_half").agg(F.sum(F.col("freq") * frac * F.col("asset_value_usd")).alias("wind_aal"))
 
 
-def fit_v_half(sweep: DataFrame, observed: DataFrame, fixed: DataFrame) -> DataFrame:
-    """Half-damage speed whose modelled loss matches the observed total.
+FINE_STEP = 0.01
+
+
+def calibration(wind_rows: DataFrame, flood: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Half-damage speed at which the model's present loss of the backtested sites equals what was observed there.
 
-    Damage falls as the speed rises, so the answer lies in one bracket of the sweep and is read
-    by linear interpolation; outside the sweep the bound is returned and flagged. All inputs are
-    single rows or the sweep's own few rows. observed: total. fixed: flood_fixed.
+    wind_rows: site_key, x, freq, wind_mult, v_half, asset_value_usd of the present catalog. flood: site_key, flood_usd, the
+    annual flood damage, which the speed does not touch. pairs: site_key, observed; rows without a site don't count.
+
+    Damage falls as the speed rises. One sweep over whole speeds brackets the answer, a second one over hundredths inside
+    the bracket narrows it, and a straight line gives the rest. Where no speed of the sweep fits, its bound is returned as
+    clipped. bias is observed over modelled at the sites' own curves; review marks one outside half to twice.
     """
-    from pyspark.sql import Window
-    one = lambda df: F.broadcast(df.withColumn("_k", F.lit(1)))
-    s = sweep.withColumn("_k", F.lit(1)).join(one(observed), "_k").join(one(fixed), "_k")
-    s = s.withColumn("_m", F.col("wind_aal") + F.col("flood_fixed"))
-    w = Window.partitionBy("_k").orderBy("v_half")
-    s = s.withColumn("_nv", F.lead("v_half").over(w)).withColumn("_nm", F.lead("_m").over(w))
-    inside = (F.col("_m") >= F.col("total")) & (F.col("_nm") < F.col("total"))
-    at = F.col("v_half") + (F.col("_m") - F.col("total")) / (F.col("_m") - F.col("_nm")) * (F.col("_nv") - F.col("v_half"))
-    fit = s.agg(F.max(F.when(inside, at)).alias("_fit"), F.max("_m").alias("_hi"), F.first("total").alias("observed_total"))
-    v = F.coalesce("_fit", F.when(F.col("observed_total") >= F.col("_hi"), F.lit(A.V_HALF_LO)).otherwise(A.V_HALF_HI))
-    return fit.select(v.alias("fitted_v_half"), F.col("_fit").isNull().alias("clipped"), "observed_total")
+    known = pairs.where(F.col("site_key").isNotNull())
+    rows = wind_rows.join(known.select("site_key").distinct(), "site_key", "left_semi")
+    total = known.agg(F.sum("observed").alias("o"), F.count(F.lit(1)).alias("n")).first()
+    fixed = flood.join(known.select("site_key").distinct(), "site_key", "left_semi").agg(F.coalesce(F.sum("flood_usd"), F.lit(0.0))).first()[0]
+    own = F.least(wind_damage(F.col("x"), F.col("v_half")) * F.col("wind_mult"), F.lit(1.0))
+    base = rows.agg(F.coalesce(F.sum(F.col("freq") * own * F.col("asset_value_usd")), F.lit(0.0))).first()[0] + fixed
+    rows = rows.drop("v_half")
+    observed = float(total["o"] or 0.0)
+
+    def swept(step: float, lo: float, hi: float) -> list[tuple[float, float]]:
+        return sorted((r.v_half, r.wind_aal + fixed) for r in v_half_sweep(rows, step, lo, hi).collect())  # one row per candidate
+
+    coarse = swept(1.0, A.V_HALF_LO, A.V_HALF_HI) or [(A.V_HALF_LO, fixed), (A.V_HALF_HI, fixed)]
+    clipped = not coarse[-1][1] < observed < coarse[0][1]
+    if clipped:
+        speed = A.V_HALF_LO if observed >= coarse[0][1] else A.V_HALF_HI
+    else:
+        at = max(v for v, m in coarse if m >= observed)
+        fine = swept(FINE_STEP, at, at + 1.0)
+        (v, m), (w, k) = next((a, b) for a, b in zip(fine, fine[1:], strict=False) if a[1] >= observed >= b[1])
+        speed = v + ((m - observed) / (m - k) * (w - v) if m > k else 0.0)
+    bias = observed / base if base else None
+    row = (int(total["n"]), observed, float(base), bias, float(speed), float(A.V_HALF), clipped, None if bias is None else not 0.5 <= bias <= 2.0)
+    return wind_rows.sparkSession.createDataFrame([row], "matched long, observed_usd double, modelled_usd double, bias double, fitted_v_half double, published_v_half double, clipped boolean, review boolean")
 
 
 def catalog_years(spark, weights: DataFrame, years: int = A.SIM_YEARS, seed: int = A.SIM_SEED) -> DataFrame:

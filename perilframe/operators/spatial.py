@@ -2,7 +2,8 @@
 
 No site ever meets every centroid. Work per distinct site location is bounded by geometry:
 a ring of nine fine cells first, and only for locations that ring cannot settle, the occupied
-cells within reach, pruned by distance bounds before any centroid in them is read. Copies of
+cells within reach, pruned by distance bounds before any centroid in them is read. Distances
+beyond reach come from a descent through ever finer cells that keeps a few at each level. Copies of
 one location are collapsed before the joins, so a location that carries a third of all rows
 costs the same as one that carries a single row.
 """
@@ -15,9 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import assumptions as A
-from ..functions.geo import EARTH_KM, haversine_km
-
-_HALF_TURN_KM = math.pi * EARTH_KM
+from ..functions.common import finite_or_null
+from ..functions.geo import EARTH_KM, haversine_km, raster_index
 
 
 def _cells(deg: float) -> int:
@@ -98,6 +98,43 @@ def _search(points: DataFrame, cen: DataFrame, by: list[str], deg: float, reach_
     return _best(kept.join(cen, [*by, "_y", "_x"]), by)
 
 
+def _pyramid(deg: float) -> list[float]:
+    """Cell sizes from the whole globe down to deg, each dividing the one before, some five to nine times."""
+    n, sizes = _cells(deg), [deg]
+    while n > 1:
+        step = next((f for f in (4, 5, 6, 7, 8, 9, 3, 2) if n % f == 0), n)
+        n //= step
+        sizes.append(360.0 / n)
+    return sizes[::-1]
+
+
+def _descend(points: DataFrame, cen: DataFrame, by: list[str], deg: float) -> DataFrame:
+    """Nearest centroid at any distance, from coarse cells to fine ones.
+
+    At each level a location keeps only cells that may hold its nearest centroid: those whose lower distance bound is not
+    above the distance to a known centroid of some kept cell. A few cells are left at each level, however far the
+    centroids are and however many there are.
+    """
+    at = lambda df, size: df.withColumn("_cy", F.floor(F.col("_clat") / size).cast("long")).withColumn("_cx", F.floor((F.col("_clon") + 180.0) / size).cast("long"))
+    cen = cen.drop("_y", "_x").withColumn("_clon", F.when(F.col("_clon") >= 180.0, F.col("_clon") - 360.0).otherwise(F.col("_clon")))
+    alive, sizes = points.select(*by, "lat", "lon"), _pyramid(deg)
+    kept = alive.withColumn("_py", F.explode(F.array(F.lit(-1), F.lit(0)).cast("array<long>"))).withColumn("_px", F.lit(0).cast("long"))
+    here = Window.partitionBy(*by, "lat", "lon")
+    for above, size in zip(sizes, sizes[1:], strict=False):
+        ratio = round(above / size)
+        cells = (at(cen, size).groupBy(*by, "_cy", "_cx").agg(F.min_by(F.struct("_clat", "_clon"), F.struct("_clat", "_clon")).alias("_rep"))
+                 .withColumn("_py", F.floor(F.col("_cy") / ratio).cast("long")).withColumn("_px", F.floor(F.col("_cx") / ratio).cast("long")))
+        if above == 360.0:
+            cells = cells.withColumn("_py", F.when(F.col("_cy") < 0, -1).otherwise(0).cast("long"))
+        near = kept.join(cells, [*by, "_py", "_px"])
+        upper = haversine_km(F.col("lat"), F.col("lon"), F.col("_rep._clat"), F.col("_rep._clon"))
+        middle = haversine_km(F.col("lat"), F.col("lon"), (F.col("_cy") + 0.5) * size, (F.col("_cx") + 0.5) * size - 180.0)
+        near = near.withColumn("_lower", middle - math.radians(size) * EARTH_KM * math.sqrt(0.5)).withColumn("_bound", F.min(upper).over(here))
+        kept = near.where(F.col("_lower") <= F.col("_bound") + 1e-6).select(*by, "lat", "lon", F.col("_cy").alias("_py"), F.col("_cx").alias("_px"))
+    leaves = at(cen, deg).withColumnRenamed("_cy", "_py").withColumnRenamed("_cx", "_px")
+    return _best(kept.join(leaves, [*by, "_py", "_px"]), by)
+
+
 def nearest(points: DataFrame, centroids: DataFrame, *, lat: str = "latitude", lon: str = "longitude",
             c_lat: str = "lat", c_lon: str = "lon", c_id: str = "centroid_id",
             by: tuple[str, ...] = (), max_km: float = A.SNAP_KM, deg: float = A.GRID_DEG,
@@ -124,11 +161,7 @@ def nearest(points: DataFrame, centroids: DataFrame, *, lat: str = "latitude", l
     if distance_beyond:
         known = found.where(F.col("_hit.km") <= max_km).select(*keys, "lat", "lon")
         far = loc.join(known, [*keys, "lat", "lon"], "left_anti")
-        wide = 5.0
-        cen_wide = (cen.withColumn("_y", _cell_y(F.col("_clat"), wide))
-                    .withColumn("_x", _cell_x(F.col("_clon"), wide)))
-        found = found.where(F.col("_hit.km") <= max_km).unionByName(
-            _search(far, cen_wide, keys, wide, _HALF_TURN_KM))
+        found = found.where(F.col("_hit.km") <= max_km).unionByName(_descend(far, cen, keys, deg))
     near = found.select(*keys, F.col("lat").alias(lat), F.col("lon").alias(lon),
                         F.col("_hit.cid").alias("centroid_id"), F.col("_hit.km").alias("dist_km"))
     out = points.join(near, [*keys, lat, lon], "left")
@@ -139,6 +172,22 @@ def nearest(points: DataFrame, centroids: DataFrame, *, lat: str = "latitude", l
             .withColumn("dist_km", beyond))
 
 
+def sample_raster(points: DataFrame, cells: DataFrame, frame: tuple[float, float, float, float], *, lat: str = "latitude", lon: str = "longitude",
+                  value: str = "value", nodata: float | None = None) -> DataFrame:
+    """points with `value`, the raster value at each of them; null outside the raster, without a cell, or where it holds no data.
+
+    cells: iy, ix, value, one row per cell at most; rows count from the north edge, columns from the west edge. frame is
+    (west, north, width and height of a cell in degrees). A value counts if it is finite and not close to `nodata`. One
+    equi-join on cell numbers: neither side is looked at twice, and copies of a location cost a shuffle row each.
+    """
+    west, north, dx, dy = frame
+    known = cells.select(F.col("iy").cast("long").alias("_row"), F.col("ix").cast("long").alias("_col"), finite_or_null(F.col(value)).alias(value))
+    if nodata is not None:
+        known = known.where(~F.coalesce(F.abs(F.col(value) - nodata) <= 1e-8 + 1e-5 * abs(nodata), F.lit(False)))
+    at = points.withColumn("_row", raster_index(F.lit(north) - F.col(lat), 0.0, dy)).withColumn("_col", raster_index(F.col(lon), west, dx))
+    return at.join(known, ["_row", "_col"], "left").drop("_row", "_col")
+
+
 def water_snap(sites: DataFrame, water_centroids: DataFrame, *, wind_dist: str = "wind_dist_km",
                deg: float = A.GRID_DEG) -> DataFrame:
     """Snap sites to a water layer only within cell scale of their wind centroid.

@@ -13,7 +13,7 @@ from .. import assumptions as A
 from ..functions.common import clamp
 from ..functions.curves import annuity
 from ..functions.profile import clean_text, profile_wind_multiplier
-from ..operators import exceedance, losses
+from ..operators import exceedance, losses, sensitivity
 from ..operators.spatial import nearest, water_snap
 
 N_LADDER, N_RPS = len(A.LADDER_RPS), len(A.RETURN_PERIODS)
@@ -57,7 +57,7 @@ class Impact:
         return water_snap(pts, self.surge_centroids, deg=self.deg).where("covered").select("site_key", "centroid_id")
 
     def _knobs(self) -> DataFrame:
-        return self.sites.select("site_key", *losses.SITE_KNOBS)
+        return self.sites.select("site_key", "country", *losses.SITE_KNOBS)
 
     def _at_sites(self, intensity: DataFrame, site_map: DataFrame) -> DataFrame:
         return losses.site_intensity(intensity, site_map).join(self._knobs(), "site_key")
@@ -100,7 +100,7 @@ class Impact:
     def river_losses(self) -> DataFrame:
         r = self._at_sites(self.river, self._map())
         cat = self.catalog.where(F.col("freq") > 0.0).select("event_id", "freq")
-        return (r.select("scenario", "member", "event_id", "site_key", losses.river_loss(r).alias("loss"))
+        return (r.select("scenario", "member", "event_id", "site_key", "country", losses.river_loss(r).alias("loss"))
                 .join(cat, "event_id"))
 
     @cached_property
@@ -113,7 +113,7 @@ class Impact:
     def rain_losses(self) -> DataFrame:
         """scenario, event_id, site_key, freq, loss: the field scales with warming before drainage."""
         r = A.each_scenario(self.rain_hits)
-        return r.select("scenario", "event_id", "site_key", "freq", losses.rain_loss(r, F.col("scenario")).alias("loss"))
+        return r.select("scenario", "event_id", "site_key", "country", "freq", losses.rain_loss(r, F.col("scenario")).alias("loss"))
 
     @cached_property
     def fire_losses(self) -> DataFrame:
@@ -122,11 +122,11 @@ class Impact:
         from ..operators.grid import flame_damage
         known = F.coalesce(F.col("cfl") >= 0.0, F.lit(False))
         pts = pts.where(F.col("bp").isNotNull()).select(
-            "site_key", *losses.SITE_KNOBS, clamp(F.col("bp"), 0.0, 1.0).alias("bp"),
+            "site_key", "country", *losses.SITE_KNOBS, clamp(F.col("bp"), 0.0, 1.0).alias("bp"),
             F.when(known, flame_damage(F.col("cfl"))).otherwise(A.FIRE_COND_INTERIM).alias("cond"))
         rows = A.each_scenario(pts)
         p, loss = losses.fire_terms(rows, F.col("scenario"))
-        return rows.select("scenario", "site_key", p.alias("p"), loss.alias("loss")).withColumn("ead", F.col("p") * F.col("loss"))
+        return rows.select("scenario", "site_key", "country", p.alias("p"), loss.alias("loss")).withColumn("ead", F.col("p") * F.col("loss"))
 
     @cached_property
     def site_ead(self) -> DataFrame:
@@ -155,24 +155,26 @@ class Impact:
 
     # --- curves --------------------------------------------------------------------------------
 
+    # Catalogs of different countries are independent: each has its own curve, and curves add at equal return period.
+
     def storm_curve(self, loss: str = "loss") -> DataFrame:
-        per_source = losses.portfolio_curve(self.joint, ["source"], loss)
+        per_source = losses.portfolio_curve(self.joint, ["source", "country"], loss)
         return losses.blend_ladders(per_source, self.weights, [], N_RPS)
 
     def river_curve(self) -> DataFrame:
-        per_member = losses.portfolio_curve(self.river_losses, ["scenario", "member"])
+        per_member = losses.portfolio_curve(self.river_losses, ["scenario", "member", "country"])
         parts = per_member.join(F.broadcast(self.river_members), "scenario")
         rungs = [F.sum(F.get("ladder", F.lit(i)) / F.col("_members")) for i in range(N_RPS)]
         return parts.groupBy("scenario").agg(F.array(*rungs).alias("ladder"))
 
     def rain_curve(self) -> DataFrame:
-        return losses.portfolio_curve(self.rain_losses, ["scenario"])
+        return losses.add_ladders(losses.portfolio_curve(self.rain_losses, ["scenario", "country"]), ["scenario"], N_RPS)
 
     def fire_curve(self) -> DataFrame:
         """Sites are the events: exceedance over independent site arrivals."""
-        points = exceedance.loss_points(self.fire_losses.select("scenario", "loss", F.col("p").alias("freq"), "site_key"),
-                                        ["scenario"], order="site_key")
-        return exceedance.interpolated_ladder(points, ["scenario"])
+        keys = ["scenario", "country"]
+        points = exceedance.loss_points(self.fire_losses.select(*keys, "loss", F.col("p").alias("freq"), "site_key"), keys, order="site_key")
+        return losses.add_ladders(exceedance.interpolated_ladder(points, keys), ["scenario"], N_RPS)
 
     def curves(self) -> DataFrame:
         """scenario, peril, ladder at the six return periods; acute adds the four catalogs comonotonically."""
@@ -228,10 +230,10 @@ class Impact:
     def event_site_loss(self, floor_usd: float = A.EVENT_FLOOR_USD, scenarios: list[str] | None = None) -> DataFrame:
         """scenario, country, source, weight, event_id, event, freq, site_key, loss_usd."""
         kept = losses.sparse_events(self.joint, floor_usd)
-        parts = losses.event_set_parts(self.joint, self.weights, ["country"], floor_usd).select("scenario", "country", "source", "weight")
+        weights = self.weights.select("scenario", "source", F.bround("weight", 6).alias("weight"))
         if scenarios:
-            parts = parts.where(F.col("scenario").isin(scenarios))
-        return (kept.join(F.broadcast(parts), ["source", "country"])
+            weights = weights.where(F.col("scenario").isin(scenarios))
+        return (kept.join(F.broadcast(weights), "source")
                 .select("scenario", "country", "source", "weight", "event_id", "event", "freq", "site_key", "loss_usd"))
 
     # --- adaptation ----------------------------------------------------------------------------
@@ -264,13 +266,30 @@ class Impact:
     def knob_ead(self, rows: DataFrame, scenario: str) -> Column:
         """Annual damage of a compact row that carries site knobs and knob columns."""
         r = rows.withColumn("scenario", F.lit(scenario))
-        frac = F.least(F.col("x") * F.col("fire_vuln") * losses._knob(r, "fire_mult", 1.0), F.lit(1.0))
-        return F.col("freq") * (
-            F.when(F.col("peril") == "tc", losses.wind_loss(r, "x"))
-            .when(F.col("peril") == "cflood", losses.surge_loss(r, "x"))
-            .when(F.col("peril") == "rflood", losses.river_loss(r, "x"))
-            .when(F.col("peril") == "prain", losses.rain_loss(r, F.lit(scenario), "x"))
-            .otherwise(frac * F.col("asset_value_usd")))
+        frac = F.least(F.col("x") * F.col("fire_vuln") * losses._knob(r, "fire_mult", 1.0) * losses._knob(r, "dmg_scale", 1.0), F.lit(1.0))
+        arrivals = F.least(F.col("freq") * losses._knob(r, "haz_mult", 1.0), F.lit(1.0))  # a stronger hazard reaches a site more often
+        return (
+            F.when(F.col("peril") == "tc", F.col("freq") * losses.wind_loss(r, "x"))
+            .when(F.col("peril") == "cflood", F.col("freq") * losses.surge_loss(r, "x"))
+            .when(F.col("peril") == "rflood", F.col("freq") * losses.river_loss(r, "x"))
+            .when(F.col("peril") == "prain", F.col("freq") * losses.rain_loss(r, F.lit(scenario), "x"))
+            .otherwise(arrivals * frac * F.col("asset_value_usd") * losses._knob(r, "exp_mult", 1.0)))
+
+    def _factor_totals(self, repeat, by: list[str], scenarios: list[str]) -> DataFrame:
+        out = None
+        for sc in scenarios:
+            rows = repeat(self.compact(sc).join(self._knobs(), "site_key"))
+            one = rows.groupBy(*by).agg(F.sum(self.knob_ead(rows, sc)).alias("total")).select(F.lit(sc).alias("scenario"), *by, "total")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def sampled_aal(self, scenarios: list[str], n: int = A.MC_SAMPLES) -> DataFrame:
+        """scenario, sample, total: annual acute damage of the portfolio under each of n joint draws."""
+        return self._factor_totals(lambda rows: sensitivity.sampled(rows, n), ["sample"], scenarios)
+
+    def driver_swings(self, scenarios: list[str]) -> DataFrame:
+        """scenario, factor, swing of annual acute damage between a factor's ends."""
+        return sensitivity.swings(self._factor_totals(sensitivity.one_at_a_time, ["factor", "side"], scenarios))
 
     def base_by_site(self, scenario: str) -> DataFrame:
         rows = self.compact(scenario).join(self._knobs(), "site_key")

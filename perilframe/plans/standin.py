@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import assumptions as A
-from ..functions import profile
+from ..functions import geo, profile
 from ..operators.keyed import keep_one
 
 NO_SURGE_SOURCE = "rcp26_2060"
@@ -142,6 +142,18 @@ def member_of(event: Column) -> Column:
     return F.concat(F.lit("m"), (F.floor(event / 10) % 2).cast("string"))
 
 
+DEM_FRAME = (-100.0, 37.0, 0.25, 0.25)  # west, north, cell width and height
+DEM_NODATA = -9999.0
+
+
+def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground elevation raster: iy from the north, ix from the west, value in metres with sea floor and cells without data."""
+    west, north, dx, dy = DEM_FRAME
+    c = centroids(spark, sf_dir)
+    value = F.when(F.col("centroid_id") % 13 == 0, DEM_NODATA).otherwise(F.col("p_size") / F.lit(2.0) - 4.0)
+    return c.groupBy(geo.raster_index(F.lit(north) - F.col("lat"), 0.0, dy).alias("iy"), geo.raster_index(F.col("lon"), west, dx).alias("ix")).agg(F.max(value).alias("value"))
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
@@ -242,6 +254,7 @@ def sov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 10 == 0)
+    """Observed annual losses, a row for each customer."""
+    c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("row_no"), F.col("c_name").alias("name"),
                     ((F.col("c_acctbal") + 1000.0) * 20.0).alias("observed_annual_loss_usd"))
