@@ -7,19 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "/tmp/perilframe-checkpoints"  # used where a session names no folder, as in tests
-CHUNK = 500_000  # links that a task holds at once
-
+from perilframe.operators.lineage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; one of our own only where none is set."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR)
-    return context.getCheckpointDir()
+CHUNK = 500_000  # links that a task holds at once
 
 
 def cut(df: DataFrame) -> DataFrame:
