@@ -140,7 +140,7 @@ def peril_authority(spark, sf):
 
 
 @register("quadrant", query(f"""
-SELECT s.scenario, site_key, {rnd('m', 2)} AS median_value, CASE WHEN asset_value_usd>=m AND ead_pct>=0.75 THEN 'protect first' WHEN ead_pct>=0.75 THEN 'harden / transfer' WHEN asset_value_usd>=m THEN 'monitor' ELSE 'accept' END AS quadrant
+SELECT s.scenario, site_key, {rnd('m', 2)} AS median_value, CASE WHEN asset_value_usd>=m AND ead_pct>=0.75 THEN 'high_value_high_loss' WHEN ead_pct>=0.75 THEN 'low_value_high_loss' WHEN asset_value_usd>=m THEN 'high_value_low_loss' ELSE 'low_value_low_loss' END AS quadrant
 FROM sc s JOIN (SELECT scenario, median(asset_value_usd) AS m FROM sc GROUP BY 1) USING (scenario)""".replace("s.scenario, site_key", "scenario, site_key"), X2))
 def quadrant(spark, sf):
     return scoring.quadrant(scored(spark, sf)).select("scenario", "site_key", r("median_value").alias("median_value"), "quadrant")
@@ -265,7 +265,7 @@ def layer_sweep(spark, sf):
 
 
 @register("act_by", query(f"""
-SELECT site_key, CASE WHEN min(y) IS NULL THEN 'monitor' WHEN min(y)=2026 THEN 'now' ELSE CAST(min(y) AS VARCHAR) END AS act_by FROM
+SELECT site_key, CASE WHEN min(y) IS NULL THEN 'high_value_low_loss' WHEN min(y)=2026 THEN 'now' ELSE CAST(min(y) AS VARCHAR) END AS act_by FROM
 (SELECT site_key, CASE WHEN total_aal/asset_value_usd*10000>75 THEN CASE scenario WHEN 'present' THEN 2026 ELSE CAST(right(scenario,4) AS INTEGER) END END AS y FROM fin) GROUP BY 1""", X4))
 def act_by(spark, sf):
     return fo.urgency(fin(spark, sf, S4), "ssp245")

@@ -322,7 +322,7 @@ def claims_aggregates(spark, sf):
 
 @register("claims_calibration", query(f"""
 SELECT m.cls, {rnd('m.v', 0)} AS modelled_annual, {rnd('coalesce(a.inc,0)/y', 0)} AS actual_annual, {rnd('m.v/(a.inc/y)', 4)} AS ratio,
- CASE WHEN m.v/(a.inc/y)>2 THEN 'model HIGH vs actuals' WHEN m.v/(a.inc/y)<0.5 THEN 'model LOW vs actuals' END AS bias FROM
+ CASE WHEN m.v/(a.inc/y)>2 THEN 'above_actuals' WHEN m.v/(a.inc/y)<0.5 THEN 'below_actuals' END AS bias FROM
 (SELECT 'hurricane' AS cls, sum(retained_hurricane) AS v FROM prop WHERE scenario='present' UNION ALL SELECT 'flood', sum(retained_flood) FROM prop WHERE scenario='present' UNION ALL SELECT 'general', sum(retained_general) FROM prop WHERE scenario='present'
  UNION ALL SELECT 'bi', sum(waiting+overage) FROM bis WHERE scenario='present') m
 LEFT JOIN (SELECT cls, sum(inc) AS inc FROM clx WHERE site_key IS NOT NULL AND (cls IN ('hurricane','bi') OR NOT zeta) GROUP BY 1) a ON a.cls=m.cls, (SELECT max(year)-min(year)+1 AS y FROM clm)""", {**X, **C}))

@@ -79,7 +79,7 @@ def calibration(rows: DataFrame, modelled: DataFrame) -> DataFrame:
     df = df.withColumn("actual_annual", F.coalesce("_inc", F.lit(0.0)) / F.col("_years"))
     ratio = F.when(F.col("actual_annual") > 0.0, F.col("modelled_annual") / F.col("actual_annual"))
     return df.select("cls", "modelled_annual", "actual_annual", ratio.alias("ratio"),
-                     F.when(ratio > 2.0, "model HIGH vs actuals").when(ratio < 0.5, "model LOW vs actuals").alias("bias"))
+                     F.when(ratio > 2.0, "above_actuals").when(ratio < 0.5, "below_actuals").alias("bias"))
 
 
 def backtest(site_ead: DataFrame, sites: DataFrame, observed: DataFrame) -> DataFrame:

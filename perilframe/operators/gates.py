@@ -200,26 +200,26 @@ def calibration_findings(row: DataFrame) -> DataFrame:
                    _finding(row, "bias", "warn", ~c("bias").between(0.5, 2.0), c("bias"))])
 
 
-def plan_findings(plan: DataFrame, budget: float | None = None) -> DataFrame:
-    """Capital plan: BCRs present, funded rows ordered, deferred rows last, yearly spend in budget.
+def plan_findings(plan: DataFrame, budget: float | None = None, by: str = "portfolio") -> DataFrame:
+    """Capital plans: BCRs present, funded rows ordered, deferred rows last, yearly spend in budget, each portfolio by itself.
 
-    plan: position (unique), bcr, cost, averted, annuity_years, year (null = deferred), synergy.
-    A plan is capped at forty projects per portfolio, so its ordered check is small.
+    plan: portfolio, position (1, 2, ... in it), bcr, cost, averted, annuity_years, year (null = deferred), synergy. A row is
+    compared with the one at the position before by a join, so that no task holds a portfolio. The portfolio of a
+    finding stands in its scenario column.
     """
-    from pyspark.sql import Window
     c = F.col
-    w = Window.partitionBy(F.lit(0)).orderBy("position")
-    rows = plan.withColumn("_prev", F.lag("bcr").over(w)).withColumn("_prev_year", F.lag("year").over(w)).withColumn("_first", F.lag("position").over(w).isNull())
+    before = plan.select(by, (c("position") + 1).alias("position"), c("bcr").alias("_prev"), c("year").alias("_prev_year"), F.lit(True).alias("_has"))
+    rows = plan.join(before, [by, "position"], "left").withColumn("_first", c("_has").isNull())
     factor = (F.lit(1.0) - F.pow(F.lit(1.0 + A.DISCOUNT_RATE), -c("annuity_years"))) / A.DISCOUNT_RATE
     want = c("averted") * factor / c("cost")
     close = F.when(c("synergy"), rel_close(c("bcr"), want, 0.25)).otherwise(rel_close(c("bcr"), want, 0.02))
-    out = [_finding(plan, "plan_bcr", "fail", c("bcr").isNull() | (c("bcr") < 0.0), F.lit(1)),
-           _finding(rows, "plan_order", "fail", c("year").isNotNull() & (c("bcr") > c("_prev")) & c("_prev_year").isNotNull(), c("position")),
-           _finding(rows, "deferred_last", "fail", c("year").isNotNull() & c("_prev_year").isNull() & ~c("_first"), c("position")),
-           _finding(plan, "plan_bcr_value", "fail", (c("cost") > 0.0) & ~close, c("bcr"))]
+    out = [_finding(plan, "plan_bcr", "fail", c("bcr").isNull() | (c("bcr") < 0.0), c("position"), None, c(by)),
+           _finding(rows, "plan_order", "fail", c("year").isNotNull() & (c("bcr") > c("_prev")) & c("_prev_year").isNotNull(), c("position"), None, c(by)),
+           _finding(rows, "deferred_last", "fail", c("year").isNotNull() & c("_prev_year").isNull() & ~c("_first"), c("position"), None, c(by)),
+           _finding(plan, "plan_bcr_value", "fail", (c("cost") > 0.0) & ~close, c("position"), None, c(by))]
     if budget:
-        year = plan.where(c("year").isNotNull()).groupBy("year").agg(F.sum("cost").alias("s"))
-        out.append(_finding(year, "plan_budget", "fail", c("s") > budget * 1.001, c("s")))
+        year = plan.where(c("year").isNotNull()).groupBy(by, "year").agg(F.sum("cost").alias("s"))
+        out.append(_finding(year, "plan_budget", "fail", c("s") > budget * 1.001, c("s"), None, c(by)))
     return _union(out)
 
 

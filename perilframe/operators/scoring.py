@@ -363,8 +363,8 @@ def quadrant(scored: DataFrame) -> DataFrame:
     mid = (low.withColumnRenamed("value", "_lo").join(high.select("scenario", F.col("value").alias("_hi")), "scenario")
            .select("scenario", ((F.col("_lo") + F.col("_hi")) / 2.0).alias("median_value")))
     rich, hot = F.col("value") >= F.col("median_value"), F.col("ead_pct") >= 0.75
-    label = (F.when(rich & hot, "protect first").when(hot, "harden / transfer")
-             .when(rich, "monitor").otherwise("accept"))
+    label = (F.when(rich & hot, "high_value_high_loss").when(hot, "low_value_high_loss")
+             .when(rich, "high_value_low_loss").otherwise("low_value_low_loss"))
     return keyed.join(F.broadcast(mid), "scenario").withColumn("quadrant", label)
 
 

@@ -155,11 +155,11 @@ def component_breakdown(rows: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("c_prop", "c_freq", "c_bi", "c_prem", "c_admin", "total", "gross_property", "bi_gross", "retained_property", "retained_bi", "indirect")])
     entry = lambda m, k, v, b: F.struct(F.lit(m).alias("metric"), F.lit(k).alias("component"), v.alias("value_usd"), F.lit(b).alias("basis"))
     c = F.col
-    cells = [entry("tcor_component", k, c(f"c_{k}"), b) for k, b in (("prop", "retained property, rare events"), ("freq", "frequent band"), ("bi", "retained interruption"), ("prem", "premium"), ("admin", "risk control and admin"))]
-    cells += [entry("tcor_total", "total", c("total"), "five components above"),
-              entry("gross_modeled_loss", "gross", c("gross_property") + c("bi_gross"), "property and interruption before insurance"),
-              entry("transferred", "transfer", c("gross_property") - c("retained_property") + c("bi_gross") - c("retained_bi"), "to the insurer"),
-              entry("indirect_flagged", "indirect", c("indirect"), "flagged estimate, excluded from the total")]
+    cells = [entry("tcor_component", k, c(f"c_{k}"), b) for k, b in (("prop", "rare_property"), ("freq", "frequent"), ("bi", "interruption"), ("prem", "premium"), ("admin", "fixed"))]
+    cells += [entry("tcor_total", "total", c("total"), "sum_of_components"),
+              entry("gross_modeled_loss", "gross", c("gross_property") + c("bi_gross"), "gross"),
+              entry("transferred", "transfer", c("gross_property") - c("retained_property") + c("bi_gross") - c("retained_bi"), "gross_less_retained"),
+              entry("indirect_flagged", "indirect", c("indirect"), "not_in_total")]
     return s.select("scenario", F.explode(F.array(*cells)).alias("_c")).select("scenario", "_c.*")
 
 

@@ -259,3 +259,14 @@ def test_all_known_layers(spark):
     got = grid_layers(grid)
     assert {h: set(v) for h, v in got.items()} == {h: set(A.SCENARIOS) for h in A.HAZARDS}
     assert unknown_layers(grid).count() == len(rows) - len(A.HAZARDS) * len(A.SCENARIOS)
+
+
+def test_plan_gate_reads_each_portfolio_by_itself(spark):
+    cols = "portfolio string, position long, bcr double, cost double, averted double, annuity_years int, year int, synergy boolean"
+    row = lambda p, k, bcr, year: (p, k, bcr, 100.0, bcr * 100.0 / ((1 - 1.03 ** -25) / 0.03), 25, year, False)
+    good = [row("a", 1, 3.0, 1), row("a", 2, 2.0, 1), row("a", 3, 9.0, None), row("b", 1, 8.0, 2), row("b", 2, 1.0, 1)]
+    assert gates.plan_findings(spark.createDataFrame(good, cols), 250.0).count() == 0
+    bad = [row("a", 1, 3.0, 1), row("a", 2, 4.0, 1), row("b", 1, 3.0, None), row("b", 2, 2.0, 1), row("c", 1, -1.0, 1), (*row("c", 2, -2.0, 1)[:4], 500.0, 25, 1, False)]
+    got = {(r.check, r.scenario, r.value) for r in gates.plan_findings(spark.createDataFrame(bad, cols), 150.0).collect()}
+    assert got == {("plan_order", "a", 2.0), ("plan_budget", "a", 200.0), ("deferred_last", "b", 2.0), ("plan_bcr", "c", 1.0), ("plan_bcr", "c", 2.0),
+                   ("plan_bcr_value", "c", 2.0), ("plan_budget", "c", 200.0)}
