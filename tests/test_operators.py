@@ -111,17 +111,17 @@ def test_budget_queue_equals_sequential_pass(spark, alone):
 
 
 def test_alternating_costs_take_few_rounds(spark, monkeypatch):
-    """Twelve costs, each larger than what is left after the one before, and twenty thousand rows of one group."""
+    """Six costs, each larger than what is left after the one before, and six thousand rows of one group."""
     rounds = []
     monkeypatch.setattr(budget, "written", lambda df, f=budget.written: rounds.append(1) or f(df))
-    money, rows, left = 1 << 12, [], 1 << 12
-    for k in range(12):
+    money, rows, left = 1 << 6, [], 1 << 6
+    for k in range(6):
         rows += [(2 * k, left, None), (2 * k + 1, left // 2 + 1, None)]
         left //= 2
     df = spark.createDataFrame([("g", *r) for r in rows], "g string, seq long, cents long, wish int")
     assert {r.seq: r.line for r in budget.fill(df, ["g"], [money], 0).collect()} == plain_fill(rows, [money])
     rng, rounds[:] = random.Random(5), []
-    many = [(i, rng.choice([1, 40, rng.randint(1, 10**6)]), rng.choice([None, None, 1, 2, 3])) for i in range(20_000)]
+    many = [(i, rng.choice([1, 40, rng.randint(1, 10**6)]), rng.choice([None, None, 1, 2, 3])) for i in range(6_000)]
     df = spark.createDataFrame([("g", *r) for r in many], "g string, seq long, cents long, wish int")
     budgets = [3_000_000, 10_000_000, 10_000_000]
     got = {r.seq: r.line for r in budget.fill(df, ["g"], budgets).collect()}
