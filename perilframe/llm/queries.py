@@ -163,16 +163,16 @@ def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLES["op12_hard_negatives"] = """
 WITH k AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                  list_transform(embedding, c -> CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x
+                  list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x
            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(CAST(a.x AS DOUBLE[]), CAST(b.x AS DOUBLE[])) AS BIGINT) AS score
       FROM k a JOIN k b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
 p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
       QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
 SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)"""
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3"""
 
 
 @query
