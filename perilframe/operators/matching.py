@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import assumptions as A
 from ..functions import text
-from ..functions.common import blank_to_null
+from ..functions.common import blank_to_null, by_shuffle
 from ..functions.profile import is_blank
 
 
@@ -27,9 +27,9 @@ def gram_probes(inner: DataFrame, outer: DataFrame, x: str, y: str) -> DataFrame
     that none holds is in none and drops out. x shorter than a piece is looked up as it is.
     """
     df = outer.select(F.explode(grams(F.col(y))).alias("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
-    pieces = inner.where(F.length(x) >= GRAM).select(x, F.size(grams(F.col(x))).alias("_n"), F.explode(grams(F.col(x))).alias("_gram")).join(df, "_gram")
+    pieces = inner.where(F.length(x) >= GRAM).select(x, F.size(grams(F.col(x))).alias("_n"), F.explode(grams(F.col(x))).alias("_gram")).join(by_shuffle(df), "_gram")
     rarest = pieces.groupBy(x).agg(F.min(F.struct("_df", "_gram")).alias("_r"), F.count(F.lit(1)).alias("_met"), F.first("_n").alias("_n"))
-    probes = inner.join(rarest.where("_met = _n").select(x, "_r.*"), x)
+    probes = inner.join(by_shuffle(rarest.where("_met = _n").select(x, "_r.*")), x)
     return probes.unionByName(inner.where(F.length(x) < GRAM).select("*", F.lit(None).cast("long").alias("_df"), F.col(x).alias("_gram")))
 
 
@@ -40,7 +40,7 @@ def contained_in(inner: DataFrame, outer: DataFrame, x: str, y: str) -> DataFram
     names share are never looked up while a name has a rarer piece.
     """
     every = F.concat(grams(F.col(y)), *[grams(F.col(y), n) for n in range(1, GRAM)])
-    return (gram_probes(inner, outer, x, y).drop("_df").join(outer.withColumn("_gram", F.explode(every)), "_gram")
+    return (gram_probes(inner, outer, x, y).drop("_df").join(by_shuffle(outer.withColumn("_gram", F.explode(every))), "_gram")
             .where(F.contains(F.col(y), F.col(x))).drop("_gram"))
 
 
@@ -60,7 +60,7 @@ def match_names(queries: DataFrame, sites: DataFrame, name: str, query_id: str |
            .groupBy("_id").agg(F.min("site_key").alias("_k1")))
     names = (sites.select(text.normal_name(F.col("name")).alias("_norm"), "site_key").where(F.col("_norm").isNotNull())
              .groupBy("_norm").agg(F.min("site_key").alias("_k2")))
-    q = q.join(ids, "_id", "left").join(names, "_norm", "left")
+    q = q.join(by_shuffle(ids), "_id", "left").join(by_shuffle(names), "_norm", "left")
     if query_id is None:
         # a blank normalised name matches nothing, not even by id
         q = q.withColumn("_k1", F.when(F.col("_norm").isNotNull(), F.col("_k1")))
@@ -69,7 +69,7 @@ def match_names(queries: DataFrame, sites: DataFrame, name: str, query_id: str |
     inside = contained_in(sited, left, "_site", "_norm").select("_norm", "_k2")
     around = contained_in(left, sited, "_norm", "_site").select("_norm", "_k2")
     contained = inside.unionByName(around).groupBy("_norm").agg(F.min("_k2").alias("_k3"))
-    q = q.join(contained, "_norm", "left")
+    q = q.join(by_shuffle(contained), "_norm", "left")
     tier = F.when(F.col("_k1").isNotNull(), 1).when(F.col("_k2").isNotNull(), 2).when(F.col("_k3").isNotNull(), 3)
     return q.select(*cols, F.coalesce("_k1", "_k2", "_k3").alias("site_key"), tier.alias("tier"))
 
@@ -81,7 +81,7 @@ def attach_match(rows: DataFrame, matches: DataFrame, on: list[str]) -> DataFram
     for c in on:
         eq = rows[c].eqNullSafe(m[f"_q_{c}"])
         cond = eq if cond is None else cond & eq
-    return rows.join(m, cond, "left").drop(*[f"_q_{c}" for c in on])
+    return rows.join(by_shuffle(m), cond, "left").drop(*[f"_q_{c}" for c in on])
 
 
 def pack_join(pack_sites: DataFrame, sites: DataFrame) -> DataFrame:
