@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import assumptions as A
 from ..functions import text
-from ..functions.common import share
+from ..functions.common import by_shuffle, share
 from . import matching
 
 CLUSTER_DAYS = 3
@@ -88,7 +88,7 @@ def backtest(site_ead: DataFrame, sites: DataFrame, observed: DataFrame) -> Data
     # duplicate site names: the last one wins, as a later entry replaces an earlier one
     names = sites.groupBy(low("name").alias("_n")).agg(F.max("site_key").alias("site_key"))
     obs = observed.select(low("name").alias("_n"), F.col("name").alias("observed_name"), "observed_annual_loss_usd")
-    df = obs.join(names, "_n", "left").join(site_ead.select("site_key", F.col("ead").alias("modelled")), "site_key", "left")
+    df = obs.join(by_shuffle(names), "_n", "left").join(by_shuffle(site_ead.select("site_key", F.col("ead").alias("modelled"))), "site_key", "left")
     ratio = F.when(F.col("modelled") > 0.0, F.col("observed_annual_loss_usd") / F.col("modelled"))
     return df.select("observed_name", "site_key", "modelled", F.col("observed_annual_loss_usd").alias("observed"), ratio.alias("ratio"))
 

@@ -5,7 +5,9 @@ import io
 
 from pyspark.sql import functions as F
 
-from perilframe.operators import matching
+from perilframe import assumptions as A
+from perilframe.functions import interruption as bi
+from perilframe.operators import exceedance, grid, losses, matching, scoring
 
 
 def plan_of(df):
@@ -22,3 +24,52 @@ def test_name_matching_broadcasts_nothing(spark):
     rows = matching.attach_match(claims, found, ["claimant"])
     assert "Broadcast" not in plan_of(rows)
     assert {(r.claimant, r.site_key, r.tier) for r in rows.collect()} == {("Ocean Tower Annex", 2, 3), ("palm court", 1, 2), (None, None, None)}
+
+
+def test_grid_lookup_repeats_nothing_for_sites_of_one_place(spark):
+    sites = spark.createDataFrame([(k, 27.0, -82.0) for k in range(500)], "site_key long, latitude double, longitude double")
+    cells = spark.createDataFrame([(27.0, -82.1, "present", "tc", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)],
+                                  "lat double, lon double, scenario string, hazard string, " + ", ".join(f"{v} double" for v in A.V_COLS))
+    found = scoring.location_lookup(sites, cells, ["present"])
+    assert found.count() == 1
+    rows = scoring.grid_lookup(sites, cells, ["present"])
+    assert "Broadcast" not in plan_of(rows)
+    assert rows.select("site_key").distinct().count() == rows.count() == 500
+    assert {tuple(r.v) for r in rows.select("tc.v").collect()} == {(1.0, 2.0, 3.0, 4.0, 5.0, 6.0)}
+
+
+def test_intensity_vectors_and_event_hits_broadcast_nothing(spark):
+    inten = spark.createDataFrame([("present", 1, 7, 30.0), ("present", 2, 7, 50.0)], "source string, event_id long, centroid_id long, intensity double")
+    cat = spark.createDataFrame([("present", 1, 0.1), ("present", 2, 0.05)], "source string, event_id long, freq double")
+    points = exceedance.loss_points(inten.join(cat.hint("merge"), ["source", "event_id"]), ["source", "centroid_id"], "intensity")
+    lad = exceedance.dense_ladder(spark.createDataFrame([("present", 7), ("present", 8)], "source string, centroid_id long"),
+                                  exceedance.step_ladder(points, ["source", "centroid_id"], "intensity"), ["source", "centroid_id"])
+    assert "Broadcast" not in plan_of(lad.where(F.exists("ladder", lambda x: x > 0.0)))
+    assert {r.centroid_id: max(r.ladder) for r in lad.collect()} == {7: 50.0, 8: 0.0}
+    place = spark.createDataFrame([(7, 1), (7, 2)], "centroid_id long, site_key long")
+    hits = losses.site_intensity(inten, place)
+    assert "Broadcast" not in plan_of(hits) and hits.count() == 4
+    base = spark.createDataFrame([("present", 0, 0), ("present", 0, 1)], "scenario string, ix long, iy long")
+    wet = base.limit(1).select("*", *[F.lit(2.0).alias(v) for v in A.V_COLS])
+    out = grid.align_to_cells(wet, base, ["scenario", "ix", "iy"])
+    assert "Broadcast" not in plan_of(out.where("v10 >= 0")) and sorted(r.v10 for r in out.collect()) == [0.0, 2.0]
+
+
+def test_interruption_split_runs_in_batches_and_equals_its_months(spark):
+    rows = [(float(loss), 1e6, daily, 300.0, limit, region) for loss in (0, 5e3, 9e4, 2e5, 8e5, 2e6) for daily in (1000.0, None)
+            for limit in (None, 20000.0) for region in ("gulf", "nowhere", None)]
+    df = spark.createDataFrame(rows, "loss double, bi_value double, bi_daily double, bi_anchor_days double, bi_limit double, bi_region string")
+    split = bi.split_expected(F.col("loss"), bi.econ_of(), A.BI_STORM_MONTHS)
+    assert "ArrowEvalPython" in plan_of(df.select(split))
+    key, parts = ["loss", "bi_daily", "bi_limit", "bi_region"], ["gross", "waiting", "retained"]
+    weight = F.get(F.array(*[F.lit(float(w)) for w in A.BI_STORM_MONTHS]), F.col("m"))
+    month = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("m"))
+    month = month.select(*key, weight.alias("w"), bi.split_at_month(F.col("loss"), bi.econ_of(), F.col("m")).alias("s"))
+    want = {tuple(r[k] for k in key): r for r in month.groupBy(*key).agg(*[F.sum(F.col("w") * F.col(f"s.{c}")).alias(c) for c in parts]).collect()}
+    for got in df.select(*key, split.alias("s")).select(*key, "s.*").collect():
+        for c in parts:
+            w = want[tuple(got[k] for k in key)][c]
+            if got.bi_daily is not None:
+                assert abs(got[c] - w) <= 1e-6 * max(1.0, abs(w)), (c, got, w)
+            elif got.loss > 0:
+                assert got[c] is None and w is None
