@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import assumptions as A
-from ..functions.common import finite_or_null
+from ..functions.common import by_shuffle, finite_or_null
 from ..functions.curves import flame_damage
 from ..functions.geo import cell_index, in_regions
 from . import exceedance
@@ -27,7 +27,7 @@ def cell_centre(df: DataFrame, deg: float = A.GRID_DEG) -> DataFrame:
 def centroid_intensity(intensity: DataFrame, catalog: DataFrame, centroids: DataFrame) -> DataFrame:
     """Return-period intensity per centroid and catalog, dense over centroids, flat rare tail."""
     keys = ["source"]
-    rows = (intensity.join(catalog.select(*keys, "event_id", "freq"), [*keys, "event_id"])
+    rows = (intensity.join(by_shuffle(catalog.select(*keys, "event_id", "freq")), [*keys, "event_id"])
             .withColumn("loss", F.coalesce(finite_or_null(F.col("intensity")), F.lit(0.0))))
     points = exceedance.loss_points(rows, [*keys, "centroid_id"])
     ladders = exceedance.interpolated_ladder(points, [*keys, "centroid_id"])
@@ -69,7 +69,7 @@ def ensemble_mean(members: DataFrame, keys: list[str]) -> DataFrame:
 def align_to_cells(grid: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
     """Re-index a grid onto a base cell set; missing cells become explicit zeros."""
     cells = base.select(*keys).distinct()
-    return cells.join(grid.select(*keys, *A.V_COLS), keys, "left").fillna(0.0, A.V_COLS)
+    return cells.join(by_shuffle(grid.select(*keys, *A.V_COLS)), keys, "left").fillna(0.0, A.V_COLS)
 
 
 def rain_rows(present: DataFrame) -> DataFrame:
