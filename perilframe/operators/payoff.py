@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import assumptions as A
 from ..functions import interruption as bi
-from ..functions.common import total
+from ..functions.common import by_shuffle, total
 from ..functions.curves import capped, ladder_integral
 from .adaptation import DEFAULT_ANNUITY, adapted, in_scope, knob_rows, measure_sets
 from .scoring import NEUTRAL, RPS, peril_fractions
@@ -58,10 +58,10 @@ def payoffs(fin: DataFrame, ladders: DataFrame, sites: DataFrame, load: float =
     wide = ladders.where(F.col("peril").isin(_PERILS)).groupBy("scenario", "site_key").agg(
         *[F.first(F.when(F.col("peril") == p, F.col("ladder")), ignorenulls=True).alias(f"l_{p}") for p in _PERILS])
     econ = sites.select("site_key", "campus", "bi_value", "bi_daily", "bi_anchor_days", "bi_limit", "bi_region")
-    base = wide.join(econ, "site_key")
+    base = wide.join(by_shuffle(econ), "site_key")
     group = base.groupBy("scenario", "campus").agg(
         F.array(*[F.sum(F.get("l_tc_joint", F.lit(i))) for i in range(len(A.LADDER_RPS))]).alias("l_group"))
-    df = loss_factors(fin).join(base, ["scenario", "site_key"]).join(group, ["scenario", "campus"])
+    df = loss_factors(fin).join(by_shuffle(base), ["scenario", "site_key"]).join(by_shuffle(group), ["scenario", "campus"])
     times = lambda p: F.zip_with(f"l_{p}", f"x_{p}", lambda a, b: a * b)
     df = df.select("*", *[times(p).alias(f"n_{p}") for p in _PERILS])
     df = df.withColumn("n_group", F.zip_with(F.col("l_group"), F.zip_with("n_tc_joint", "l_tc_joint", lambda a, b: a - b), lambda a, b: a + b))
@@ -77,7 +77,7 @@ def payoffs(fin: DataFrame, ladders: DataFrame, sites: DataFrame, load: float =
     df = df.select(*keep, total(gross).alias("d_gross"), total(kept).alias("d_kept"), "k_reopen", "bi_value", "bi_daily", "bi_anchor_days",
                    "bi_limit", "bi_region", *[f"{x}_{p}" for p in _PERILS for x in "ln"])
     inter = _interruption_change(df)
-    out = df.select(*keep, "d_gross", "d_kept").join(inter, ["scenario", "site_key", "measure"])
+    out = df.select(*keep, "d_gross", "d_kept").join(by_shuffle(inter), ["scenario", "site_key", "measure"])
     certain = F.col("d_kept") + F.col("bi_kept") + F.col("heat_saving")
     transferred = pos(F.col("d_gross") - F.col("d_kept")) + pos(F.col("bi_gross") - F.col("bi_kept"))
     saving = transferred * load * realization
