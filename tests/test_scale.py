@@ -73,3 +73,13 @@ def test_interruption_split_runs_in_batches_and_equals_its_months(spark):
                 assert abs(got[c] - w) <= 1e-6 * max(1.0, abs(w)), (c, got, w)
             elif got.loss > 0:
                 assert got[c] is None and w is None
+
+
+def test_hazard_rows_of_one_place_are_dealt_out_before_scoring(spark):
+    sites = spark.createDataFrame([(k, 27.0, -82.0) for k in range(50)], "site_key long, latitude double, longitude double")
+    sites = sites.select("*", F.lit(None).cast("double").alias("ground_elev_m"), F.lit(None).cast("double").alias("cell_ground_elev_m"), F.lit("interface").alias("wui_class"))
+    cells = spark.createDataFrame([(27.0, -82.1, "present", "tc", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)],
+                                  "lat double, lon double, scenario string, hazard string, " + ", ".join(f"{v} double" for v in A.V_COLS))
+    rows = scoring.site_hazards(sites, cells, ["present"], layers={"tc": ["present"]})
+    assert "hashpartitioning(site_key" in plan_of(rows).split("SortMergeJoin")[0]
+    assert rows.count() == 50
