@@ -14,7 +14,7 @@ from ..functions.common import share, total
 from ..functions.curves import annuity
 from . import budget as budget_ops
 from . import finance as fin_ops
-from .scoring import NEUTRAL, peril_fractions
+from .scoring import NEUTRAL, annual_fractions, peril_fractions
 
 # Measure settings at their defaults.
 # key, name, target, knobs, cost as percent of value, cost per site, enabled
@@ -57,8 +57,9 @@ def knob_rows(df: DataFrame, sets: list[dict], column: str = "_m") -> DataFrame:
 def adapted(df: DataFrame) -> DataFrame:
     """Add a_direct, a_bi, a_heat and a_total under the row's knob columns."""
     knobs = {k: F.col(k) for k in NEUTRAL}
-    fr = peril_fractions(knobs)
-    df = df.select("*", *[fr[p]["annual"].alias(f"g_{p}") for p in A.ACUTE])
+    fire = peril_fractions(knobs)["wfire"]["annual"]
+    df = (df.select("*", annual_fractions(knobs).alias("_g"), fire.alias("g_wfire"))
+          .select("*", *[F.col(f"_g.{p}").alias(f"g_{p}") for p in A.ACUTE if p != "wfire"]).drop("_g"))
     frac = total([F.col(f"g_{p}") for p in A.ACUTE])
     gop = F.col("revenue_usd") * F.col("k_exp") * F.col("k_rev") * F.col("gop_margin")
     excess = F.greatest(F.col("heat_ind.days_over_35") - A.HEAT_COMFORT_DAYS, F.lit(0.0))
@@ -144,18 +145,16 @@ def tornado(fin: DataFrame) -> DataFrame:
     for key, _, lo, hi in FACTORS:
         sets += [{"factor": key, "side": "lo"} | lo, {"factor": key, "side": "hi"} | hi]
     sums = adapted(knob_rows(fin, sets)).groupBy("scenario", "factor", "side").agg(F.sum("a_total").alias("t"))
-    # eleven rows per scenario from here on
-    pairs = sums.where("factor <> 'central'").groupBy("scenario", "factor").agg(
-        F.min("t").alias("lo"), F.max("t").alias("hi"))
-    central = sums.where("factor = 'central'").select("scenario", F.col("t").alias("central"))
-    rows = pairs.join(F.broadcast(central), "scenario")
+    # eleven rows per scenario from here on; windows, so that the sums are taken once
+    here = Window.partitionBy("scenario")
+    rows = sums.groupBy("scenario", "factor").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    rows = rows.withColumn("central", F.max(F.when(F.col("factor") == "central", F.col("lo"))).over(here)).where("factor <> 'central'")
     sq = lambda x: F.pow(F.greatest(x, F.lit(0.0)), F.lit(2.0))
-    band = rows.groupBy("scenario").agg(F.sqrt(F.sum(sq(F.col("central") - F.col("lo")))).alias("_dn"),
-                                        F.sqrt(F.sum(sq(F.col("hi") - F.col("central")))).alias("_up"))
-    return (rows.join(F.broadcast(band), "scenario")
-            .select("scenario", "factor", "lo", "hi", (F.col("hi") - F.col("lo")).alias("swing"), "central",
-                    F.greatest(F.col("central") - F.col("_dn"), F.lit(0.0)).alias("low"),
-                    (F.col("central") + F.col("_up")).alias("high")))
+    rows = (rows.withColumn("_dn", F.sqrt(F.sum(sq(F.col("central") - F.col("lo"))).over(here)))
+            .withColumn("_up", F.sqrt(F.sum(sq(F.col("hi") - F.col("central"))).over(here))))
+    return rows.select("scenario", "factor", "lo", "hi", (F.col("hi") - F.col("lo")).alias("swing"), "central",
+                       F.greatest(F.col("central") - F.col("_dn"), F.lit(0.0)).alias("low"),
+                       (F.col("central") + F.col("_up")).alias("high"))
 
 
 def waterfall(fin: DataFrame, future: str) -> DataFrame:

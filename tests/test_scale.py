@@ -6,8 +6,9 @@ import io
 from pyspark.sql import functions as F
 
 from perilframe import assumptions as A
+from perilframe.functions import curves
 from perilframe.functions import interruption as bi
-from perilframe.operators import exceedance, grid, losses, matching, scoring
+from perilframe.operators import adaptation, exceedance, grid, losses, matching, scoring
 
 
 def plan_of(df):
@@ -83,3 +84,36 @@ def test_hazard_rows_of_one_place_are_dealt_out_before_scoring(spark):
     rows = scoring.site_hazards(sites, cells, ["present"], layers={"tc": ["present"]})
     assert "hashpartitioning(site_key" in plan_of(rows).split("SortMergeJoin")[0]
     assert rows.count() == 50
+
+
+def test_annual_fractions_run_in_batches_and_equal_their_formulas(spark):
+    vec = [[30.0, 40.0, 55.0, 70.0, 80.0, 95.0], [0.1, 0.0, 0.6, 1.2, 1.8, 2.5], [0.4, 0.9, 1.1, 1.5, 2.0, 2.2], [60.0, 150.0, 300.0, 800.0, 1500.0, 3000.0]]
+    rows = [(vec[0], vec[1], vec[2], vec[3], 1.1, 74.7, 0.5, 0.3, -0.1, 0.9), ([None] * 6, vec[1], None, [None] * 6, None, None, None, 0.3, None, None)]
+    df = spark.createDataFrame(rows, "i_tc array<double>, i_cflood array<double>, i_rflood array<double>, i_mm array<double>, wind_mult double, v_half double,"
+                               " fb_coast double, fb_river double, fb_rain double, flood_cap double")
+    knobs = {"k_haz": F.lit(1.08), "k_dmg": F.lit(0.7), "k_fb": F.lit(0.5), "k_red": F.lit(0.3), "k_tc": F.lit(0.65)}
+    out = df.select("*", scoring.annual_fractions(knobs).alias("_f"))
+    assert "ArrowEvalPython" in plan_of(out)
+    at = lambda c: {rp: F.get(F.col(c), F.lit(i)) * 1.08 for i, rp in enumerate(A.RETURN_PERIODS)}
+    wind = lambda x: F.least(curves.wind_damage(x, F.col("v_half")) * F.col("wind_mult") * 0.65 * 0.7, F.lit(1.0))
+    flood = lambda fb: lambda x: F.least(curves.flood_damage(F.greatest(x, F.lit(0.0)), F.col(fb) + 0.5, F.col("flood_cap")) * 0.7, F.lit(1.0))
+    plan = {"tc": (at("i_tc"), wind), "cflood": ({rp: F.greatest(x - 0.3, F.lit(0.0)) for rp, x in at("i_cflood").items()}, flood("fb_coast")),
+            "rflood": (at("i_rflood"), flood("fb_river")), "prain": ({rp: curves.ponding_depth(x) for rp, x in at("i_mm").items()}, flood("fb_rain"))}
+    want = [curves.trapezoid({rp: f(x) for rp, x in (curves.sub_ten(v[10], v[25]) | v).items()}).alias(p) for p, (v, f) in plan.items()]
+    for got, told in zip(out.select("_f.*").collect(), df.select(*want).collect(), strict=True):
+        assert all(abs(got[p] - told[p]) <= 1e-12 for p in plan), (got, told)
+    assert out.select("_f.tc").first()[0] > 0.005
+
+
+def test_tornado_sums_the_sites_once(spark):
+    n = len(A.RETURN_PERIODS)
+    row = {"scenario": "present", "i_tc": [40.0] * n, "i_cflood": [1.0] * n, "i_rflood": [1.0] * n, "i_mm": [300.0] * n, "wind_mult": 1.0, "v_half": 74.7, "fb_coast": 0.1,
+           "fb_river": 0.1, "fb_rain": 0.1, "flood_cap": 0.6, "fire_cond": 0.3, "fire_vuln": 1.0, "fire_pct": 0.5, "asset_value_usd": 1e6, "revenue_usd": 3e5, "gop_margin": 0.3,
+           "reopen_months": 12.0, "heat_drop": 0.1}
+    fin = spark.createDataFrame([row, row]).withColumn("heat_ind", F.struct(F.lit(30.0).alias("days_over_35")))
+    out = adaptation.tornado(fin)
+    assert plan_of(out).count("ArrowEvalPython") == 1
+    got = {r.factor: r for r in out.collect()}
+    assert set(got) == {k for k, *_ in adaptation.FACTORS}
+    up = sum((r.hi - r.central) ** 2 for r in got.values()) ** 0.5
+    assert all(abs(r.high - r.central - up) < 1e-6 and r.lo < r.central < r.hi for r in got.values())
