@@ -6,7 +6,7 @@ prices only the transferred slice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import assumptions as A
@@ -61,7 +61,10 @@ def payoffs(fin: DataFrame, ladders: DataFrame, sites: DataFrame, load: float =
     base = wide.join(by_shuffle(econ), "site_key")
     group = base.groupBy("scenario", "campus").agg(
         F.array(*[F.sum(F.get("l_tc_joint", F.lit(i))) for i in range(len(A.LADDER_RPS))]).alias("l_group"))
-    df = loss_factors(fin).join(by_shuffle(base), ["scenario", "site_key"]).join(by_shuffle(group), ["scenario", "campus"])
+    # What is the same under every measure is joined and split once per site, before sites are repeated for measures.
+    base = base.where(F.coalesce(*[F.col(f"l_{p}") for p in _PERILS]).isNotNull()).join(by_shuffle(group), ["scenario", "campus"])
+    base = base.select("*", *_interruption("l", bi.econ_of()))
+    df = loss_factors(fin).join(by_shuffle(base), ["scenario", "site_key"])
     times = lambda p: F.zip_with(f"l_{p}", f"x_{p}", lambda a, b: a * b)
     df = df.select("*", *[times(p).alias(f"n_{p}") for p in _PERILS])
     df = df.withColumn("n_group", F.zip_with(F.col("l_group"), F.zip_with("n_tc_joint", "l_tc_joint", lambda a, b: a - b), lambda a, b: a + b))
@@ -74,10 +77,9 @@ def payoffs(fin: DataFrame, ladders: DataFrame, sites: DataFrame, load: float =
         gross.append(pos(ladder_integral(F.col(f"l_{p}")) - ladder_integral(F.col(f"n_{p}"))))
         kept.append(pos(ladder_integral(F.col(f"l_{p}"), c) - ladder_integral(F.col(f"n_{p}"), c)))
     keep = ["scenario", "site_key", "measure", "ordinal", "cost", "heat_saving"]
-    df = df.select(*keep, total(gross).alias("d_gross"), total(kept).alias("d_kept"), "k_reopen", "bi_value", "bi_daily", "bi_anchor_days",
-                   "bi_limit", "bi_region", *[f"{x}_{p}" for p in _PERILS for x in "ln"])
-    inter = _interruption_change(df)
-    out = df.select(*keep, "d_gross", "d_kept").join(by_shuffle(inter), ["scenario", "site_key", "measure"])
+    reopened = bi.econ_of() | {"anchor_days": F.col("bi_anchor_days") * F.col("k_reopen")}
+    df = df.select(*keep, total(gross).alias("d_gross"), total(kept).alias("d_kept"), *[f"_l_{p}" for p in _PERILS], *_interruption("n", reopened))
+    out = _interruption_change(df)
     certain = F.col("d_kept") + F.col("bi_kept") + F.col("heat_saving")
     transferred = pos(F.col("d_gross") - F.col("d_kept")) + pos(F.col("bi_gross") - F.col("bi_kept"))
     saving = transferred * load * realization
@@ -86,28 +88,21 @@ def payoffs(fin: DataFrame, ladders: DataFrame, sites: DataFrame, load: float =
                       saving.alias("premium_saving"), bcr(certain).alias("bcr_certain"), bcr(certain + saving).alias("bcr_with_credit"))
 
 
+def _interruption(side: str, econ: dict[str, Column]) -> list[Column]:
+    """Interruption of each peril's ladder on one side, base (l) or modified (n)."""
+    return [bi.split_ladder(F.col(f"{side}_{p}"), econ, F.lit(p in A.STORM_TIMED)).alias(f"_{side}_{p}") for p in _PERILS]
+
+
 def _interruption_change(df: DataFrame) -> DataFrame:
-    """Interruption saved: base and modified ladders through the same policy split."""
-    f = [1.0 / rp for rp in A.LADDER_RPS]
-    w = [0.5 * (f[max(i - 1, 0)] - f[min(i + 1, len(f) - 1)]) for i in range(len(f))]
-    w[-1] += f[-1]
-    cells = []
-    for p in _PERILS:
-        for side, x in (("base", "l"), ("mod", "n")):
-            cells.append(F.struct(F.lit(p).alias("peril"), F.lit(side).alias("side"), F.col(f"{x}_{p}").alias("ladder")))
-    econ = ["bi_value", "bi_daily", "bi_anchor_days", "bi_limit", "bi_region"]
-    key = ["scenario", "site_key", "measure"]
-    rows = df.select(*key, "k_reopen", *econ, F.explode(F.array(*cells)).alias("_c")).select(*key, "k_reopen", *econ, "_c.*")
-    rows = rows.withColumn("bi_anchor_days", F.when(F.col("side") == "mod", F.col("bi_anchor_days") * F.col("k_reopen")).otherwise(F.col("bi_anchor_days")))
-    rung = F.arrays_zip(F.col("ladder").alias("loss"), F.expr(A.sql_literal(w)).alias("w"))
-    rows = rows.select(*key, "peril", "side", *econ, F.explode(rung).alias("_r"))
-    loss = F.greatest(F.col("_r.loss"), F.lit(0.0))
-    split = F.when(F.col("peril").isin(A.STORM_TIMED), bi.split_expected(loss, bi.econ_of(), A.BI_STORM_MONTHS)).otherwise(
-        bi.split_expected(loss, bi.econ_of(), A.BI_FLAT_MONTHS))
-    sign = F.when(F.col("side") == "base", F.col("_r.w")).otherwise(-F.col("_r.w"))
-    rows = rows.select(*key, sign.alias("_w"), split.alias("_s"))
-    s = rows.groupBy(*key).agg(F.sum(F.col("_s.gross") * F.col("_w")).alias("_g"), F.sum(F.col("_s.retained") * F.col("_w")).alias("_r"))
-    return s.select(*key, F.greatest("_g", F.lit(0.0)).alias("bi_gross"), F.greatest("_r", F.lit(0.0)).alias("bi_kept"))
+    """Add the interruption saved, base less modified ladders, summed over the rows of a scenario, site and measure."""
+    def change(term: str) -> Column:
+        at = lambda side, p: F.coalesce(F.col(f"_{side}_{p}.{term}"), F.lit(0.0))
+        return total([at("l", p) - at("n", p) for p in _PERILS])
+    rest = [c for c in df.columns if not c.startswith("_")]
+    one = Window.partitionBy("scenario", "site_key", "measure")
+    saved = lambda c: F.greatest(F.sum(c).over(one), F.lit(0.0))
+    return (df.select(*rest, change("gross").alias("_g"), change("retained").alias("_r"))
+            .select(*rest, saved("_g").alias("bi_gross"), saved("_r").alias("bi_kept")))
 
 
 def renewal_ask(funded: DataFrame, pay: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from perilframe import assumptions as A
 from perilframe.functions import curves
 from perilframe.functions import interruption as bi
-from perilframe.operators import adaptation, exceedance, grid, losses, matching, scoring
+from perilframe.operators import adaptation, exceedance, grid, losses, matching, payoff, scoring, tcor
+from perilframe.plans import impact
 
 
 def plan_of(df):
@@ -117,3 +118,56 @@ def test_tornado_sums_the_sites_once(spark):
     assert set(got) == {k for k, *_ in adaptation.FACTORS}
     up = sum((r.hi - r.central) ** 2 for r in got.values()) ** 0.5
     assert all(abs(r.high - r.central - up) < 1e-6 and r.lo < r.central < r.hi for r in got.values())
+
+
+def test_ladders_are_split_without_a_row_for_each_rung(spark):
+    econ = [(1, 1e6, 1000.0, 300.0, 5e4, "hawaii"), (2, 2e6, None, 365.0, None, "nowhere"), (3, None, 500.0, 300.0, None, "global_mean"), (4, 0.0, 500.0, 300.0, 1.0, "global_mean"),
+            (5, 1e6, 800.0, None, None, None), (6, 1e6, 900.0, 400.0, None, None)]
+    sites = spark.createDataFrame(econ, "site_key long, bi_value double, bi_daily double, bi_anchor_days double, bi_limit double, bi_region string")
+    ladder = [-5.0, 0.0, 1e4, None, 9e4, 2e5, 8e5, 3e6]
+    rows = [("present", k, p, x) for k, *_ in econ for p in ("rflood", "prain") for x in (ladder, ladder[:5])]
+    ladders = spark.createDataFrame([*rows, ("present", 6, "wfire", None), ("present", 6, "tc", ladder)], "scenario string, site_key long, peril string, ladder array<double>")
+    got = tcor.interruption_ladders(ladders, sites, ["rflood", "prain", "wfire"])
+    assert "Generate" not in plan_of(got)
+    f = [1 / rp for rp in A.LADDER_RPS] + [1 / A.LADDER_RPS[-1]]
+    w = [0.5 * (f[max(i - 1, 0)] - f[i + 1]) for i in range(len(A.LADDER_RPS))]
+    w[-1] += f[-1]
+    rungs = ladders.where("peril in ('rflood', 'prain')").join(sites, "site_key").select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("ladder", i))).alias("i", "loss"))
+    by_time = {p: bi.split_expected(F.col("loss"), bi.econ_of(), m) for p, m in (("prain", A.BI_STORM_MONTHS), ("rflood", A.BI_FLAT_MONTHS))}
+    want = {}
+    for p, s in by_time.items():
+        for r in rungs.where(F.col("peril") == p).select("site_key", "i", s.alias("s")).collect():
+            at = want.setdefault((r.site_key, p), [None] * 4)
+            for c, x in enumerate((r.s.gross, r.s.waiting, r.s.overage, r.s.retained)):
+                at[c] = at[c] if x is None else (at[c] or 0.0) + x * w[r.i]
+    found = {(r.site_key, r.peril): [r.gross, r.waiting, r.overage, r.retained] for r in got.collect()}
+    assert found.keys() == want.keys()
+    for k, row in want.items():
+        assert [x is None for x in found[k]] == [x is None for x in row], (k, found[k], row)
+        assert all(x is None or abs(x - y) <= 1e-9 * max(1.0, abs(y)) for x, y in zip(found[k], row)), (k, found[k], row)
+    assert found[1, "prain"][0] > 0.0 and found[1, "prain"][0] != found[1, "rflood"][0]
+
+
+def test_catalogs_that_no_asked_scenario_blends_are_left_out_early(spark):
+    double = lambda names: ", ".join(f"{n} double" for n in names)
+    site = [(k, "USA", 27.0, -82.0, 1e6, 1.0, 60.0, 0.1, 0.1, 0.1, 0.6, 0.5) for k in (1, 2, 2)]
+    sites = spark.createDataFrame(site, "site_key long, country string, latitude double, longitude double, " + double(losses.SITE_KNOBS))
+    cen = spark.createDataFrame([(7, 27.0, -82.1)], "centroid_id long, lat double, lon double")
+    cat = spark.createDataFrame([(s, e, 0.01 * e, None) for s in ("present", "rcp26_2060", "rcp85_2060") for e in (1, 2)], "source string, event_id long, freq double, event_name string")
+    wind = cat.select("source", "event_id", F.lit(7).cast("long").alias("centroid_id"), (F.col("event_id") * 20.0 + 30.0).alias("intensity"))
+    deep = wind.select("source", "event_id", "centroid_id", F.lit(1.0).alias("depth"))
+    im = impact.Impact(sites=sites, centroids=cen, catalog=cat, wind=wind, surge=deep, rain=deep, river=deep, raster=deep, recipe=A.recipe_table(spark))
+    cols = ["source", "event_id", "site_key", "wind_loss", "surge_loss", "freq"]
+    want = im.joint.where("source = 'present'").select(cols).collect()
+    assert len(want) == 6 and sorted(want) == sorted(im.joint_of(["present"]).select(cols).collect())
+    assert im.storm_curve(scenarios=["present"]).collect() == im.storm_curve().where("scenario = 'present'").collect() != []
+
+
+def test_unchanged_ladders_save_nothing_and_repeated_rows_are_summed(spark):
+    split = "struct<gross: double, retained: double>"
+    cols = [f"_{x}_{p}" for x in "ln" for p in payoff._PERILS]
+    rows = [("present", k, "wind", 1.0, *[(5.0, 2.0)] * 4, *[(4.0, 1.5)] * 3, None) for k in (1, 1, 2)]
+    df = spark.createDataFrame(rows, "scenario string, site_key long, measure string, d_gross double, " + ", ".join(f"{c} {split}" for c in cols))
+    out = payoff._interruption_change(df)
+    assert out.columns == ["scenario", "site_key", "measure", "d_gross", "bi_gross", "bi_kept"]
+    assert sorted((r.site_key, r.bi_gross, r.bi_kept) for r in out.collect()) == [(1, 16.0, 7.0), (1, 16.0, 7.0), (2, 8.0, 3.5)]
