@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilframe.operators.lineage import shared_dir
@@ -15,16 +16,25 @@ from perilframe.operators.lineage import shared_dir
 CHUNK = 500_000  # links that a task holds at once
 
 
+def freed(spark: SparkSession) -> None:
+    """Let go of the shuffle files of earlier steps: Spark drops them when the driver collects its garbage, else they add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as it is now, read from the shared checkpoint folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    done = df.checkpoint()
+    freed(df.sparkSession)
+    return done
 
 
 def table(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder: smaller than checkpoint files for numeric columns."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    freed(df.sparkSession)
     return df.sparkSession.read.parquet(path)
 
 

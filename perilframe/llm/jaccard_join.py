@@ -122,7 +122,9 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             .select("id", "pivot", "n", "pn", "bitmap", "pmap"))
     bounded = cut(map_batches(both, apart, "id long, pivot long, n long, pn long, delta long").withColumn("union2", F.col("n") + F.col("pn") + F.col("delta")))
     could = F.col("delta") * (2 * den) <= F.col("union2") * (den - num)
-    exact = (bounded.where(could).join(sets.select("id", "s"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("ps")), "pivot")
+    close = bounded.where(could)
+    of = lambda c: narrowed(sets.select("id", "s"), "id", close.select(c))  # noqa: E731 - only sets of close pairs are shuffled
+    exact = (close.join(of("id"), "id").join(of("pivot").select(F.col("id").alias("pivot"), F.col("s").alias("ps")), "pivot")
              .withColumn("delta", (F.col("n") + F.col("pn") - 2 * F.size(F.array_intersect("s", "ps"))).cast("long"))
              .withColumn("union2", F.col("n") + F.col("pn") + F.col("delta")))
     return bounded.where(~could).select("id", "pivot", "n", "delta", "union2", F.lit(False).alias("link")).unionByName(

@@ -1,9 +1,12 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
-from perilframe.llm import exact_dedup, jaccard_join, line_dedup
+from pyspark.sql import functions as F
+
+from perilframe.llm import common, exact_dedup, jaccard_join, line_dedup
 from perilframe.llm.decontaminate import Tiler, annotate, tiles, tokens
 
 
@@ -77,6 +80,35 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_shuffle_files_of_earlier_steps_go(spark):
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.rsplit("/", 1)[-1] for f in every.mkString("\n").split("\n") if f.endswith(".data")}
+
+    first = set()
+    for step in (common.table, common.cut, common.table):
+        was = files()
+        kept = step(spark.range(5000).groupBy((F.col("id") % 500).alias("k")).count().repartition(3, "count"))
+        first = first or files() - was
+    until = time.time() + 10
+    while files() & first and time.time() < until:
+        time.sleep(.1)
+    gone = not files() & first
+    assert first and gone and kept.count() == 500
+
+
+def test_close_sets_alone_are_shuffled(spark):
+    rows = families(7)
+    texts = spark.createDataFrame(rows, "id long, text string").withColumn("text", F.col("text").cast("binary"))
+    sets = common.cut(jaccard_join.sets_of(texts, 4).where("n > 0"))
+    pairs = common.cut(sets.select("id").join(sets.select(F.col("id").alias("pivot")), F.expr("id < pivot and pivot < id + 30")))
+    got = {(r.id, r.pivot): r.link for r in jaccard_join.compared(pairs, sets, 85, 100).collect()}
+    of = {r.id: set(r.s) for r in sets.collect()}
+    assert got == {(a, b): 100 * len(of[a] & of[b]) >= 85 * len(of[a] | of[b]) for a, b in got} and len(got) == pairs.count() and any(got.values())
+    plan = jaccard_join.compared(pairs, sets, 85, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map64") > 0
+
+
 def test_exact_groups(spark, odd, none):
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(odd).collect()}
     assert (7, 8, 3, False) in got and (8, 8, 3, True) in got and (3, 4, 2, False) in got and (4, 4, 2, True) in got
