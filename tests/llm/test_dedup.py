@@ -137,6 +137,37 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == levenshtein(a, b)
 
 
+def test_edit_distance_up_to_a_bound():
+    r = random.Random(2)
+    ended = 0
+    for _ in range(150):
+        a = [r.choice("abcdeé ") for _ in range(r.randint(60, 200))]
+        b = list(a) if r.random() < .6 else [r.choice("abcdeé ") for _ in range(r.randint(60, 200))]
+        for _ in range(r.randint(0, len(b) // 3)):
+            b[r.randrange(len(b))] = r.choice(["", "x", "ab"])
+        a, b = "".join(a), "".join(b)
+        most, true = max(len(a), len(b)) // 5, levenshtein(a, b)
+        got = line_dedup.edit_distance(a, b, most)
+        assert got == true if true <= most else most < got <= true
+        ended += got < true
+    assert ended > 20
+
+
+def test_similar_in_turns(spark, monkeypatch):
+    r = random.Random(4)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(80)) for _ in range(3)]
+    norms = [b[:i] + "xyz"[:i % 4] + b[i + 3:] for b in base for i in range(0, 60, 6)]
+    texts = common.cut(spark.createDataFrame([(i, f"k{i:02d}".encode(), t) for i, t in enumerate(norms)], "id long, key binary, norm string"))
+    pairs = common.cut(spark.createDataFrame([(i, j) for j in range(len(norms)) for i in range(j)], "a long, b long"))
+    turns = []
+    whole = line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda p, *a: turns.append(p.count()) or whole(p, *a))
+    got = {(bytes(x.a), bytes(x.b)) for x in line_dedup.similar_in_turns(pairs, texts, 80).collect()}
+    assert got == {(f"k{i:02d}".encode(), f"k{j:02d}".encode()) for j, y in enumerate(norms) for i, x in enumerate(norms[:j])
+                   if 100 * levenshtein(x, y) <= 20 * max(len(x), len(y))}
+    assert len(turns) > 4 and sum(turns) == pairs.count() and max(turns) < 2 * line_dedup.TURN * len(norms)
+
+
 def simhash(words):
     from perilframe.llm.common import word_hashes
     h = [int(x) for x in word_hashes(" ".join(sorted(set(words))).encode())]
