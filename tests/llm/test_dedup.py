@@ -80,21 +80,24 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
-def test_shuffle_files_of_earlier_steps_go(spark):
+def test_shuffle_files_of_earlier_steps_go(spark, monkeypatch):
     def files():
         every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
         return {f.rsplit("/", 1)[-1] for f in every.mkString("\n").split("\n") if f.endswith(".data")}
 
-    first = set()
-    for step in (common.table, common.cut, common.table):
-        was = files()
-        kept = step(spark.range(5000).groupBy((F.col("id") % 500).alias("k")).count().repartition(3, "count"))
-        first = first or files() - was
-    until = time.time() + 10
-    while files() & first and time.time() < until:
-        time.sleep(.1)
+    def run(step):
+        return step(spark.range(5000).groupBy((F.col("id") % 500).alias("k")).count().repartition(3, "count"))
+
+    calls, freed = [], common.freed
+    monkeypatch.setattr(common, "freed", lambda s: calls.append(1) or freed(s))
+    was = files()
+    sizes = [run(common.cut).count(), run(common.table).count()]
+    first, until = files() - was, time.time() + 20
+    assert sizes == [500, 500] and len(calls) == 2
+    while files() & first and time.time() < until:  # those of the last step may stay until a later one
+        run(common.table)
     gone = not files() & first
-    assert first and gone and kept.count() == 500
+    assert gone
 
 
 def test_close_sets_alone_are_shuffled(spark):
@@ -168,6 +171,26 @@ def test_similar_in_turns(spark, monkeypatch):
     assert len(turns) > 4 and sum(turns) == pairs.count() and max(turns) < 2 * line_dedup.TURN * len(norms)
 
 
+def test_runs_in_turns_and_texts_of_wanted_lines(spark, monkeypatch):
+    r = random.Random(6)
+    words = [f"wörd{i}" for i in range(40)]
+    base = [[r.choice(words) for _ in range(15)] for _ in range(4)]
+    docs = [(i, "\n".join(" ".join(r.choice(words) if r.random() < .06 else w for w in base[r.randrange(4)]) for _ in range(6)), i) for i in range(30)]
+    rows = common.cut(spark.createDataFrame([*docs, docs[0]], "doc_id long, text string, rk long").select("doc_id", "rk", "text"))
+    lines = common.cut(line_dedup.fingerprints(rows, 5, line_dedup.BANDS).withColumn("id", F.xxhash64("key")))
+    one = lines.dropDuplicates(["key"]).withColumn("comp", F.col("id"))
+    pairs = lambda: {(x.a, x.b) for x in line_dedup.near_pairs(one, line_dedup.GRAM_BITS, 80, line_dedup.BANDS).collect()}
+    calls = []
+    monkeypatch.setattr(line_dedup, "cut", lambda df: calls.append(1) or common.cut(df))
+    got = pairs()
+    assert len(got) > 50 and len(calls) == line_dedup.BANDS // line_dedup.RUNS
+    monkeypatch.setattr(line_dedup, "RUNS", line_dedup.BANDS)
+    assert pairs() == got
+    wanted = lines.where("line % 2 = 1").select("key", "rk", "line").distinct()
+    texts = {bytes(x.key): x.norm for x in line_dedup.texts_of(rows.select("rk", "text"), wanted).collect()}
+    assert texts == {bytes(x.key): " ".join(docs[x.rk][1].split("\n")[x.line].split()) for x in wanted.collect()}
+
+
 def simhash(words):
     from perilframe.llm.common import word_hashes
     h = [int(x) for x in word_hashes(" ".join(sorted(set(words))).encode())]
