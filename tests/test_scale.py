@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from perilframe import assumptions as A
 from perilframe.functions import curves
 from perilframe.functions import interruption as bi
+from perilframe.functions.common import may_match
 from perilframe.operators import adaptation, exceedance, grid, losses, matching, payoff, scoring, tcor
-from perilframe.plans import impact
+from perilframe.plans import impact, standin
 
 
 def plan_of(df):
@@ -171,3 +172,40 @@ def test_unchanged_ladders_save_nothing_and_repeated_rows_are_summed(spark):
     out = payoff._interruption_change(df)
     assert out.columns == ["scenario", "site_key", "measure", "d_gross", "bi_gross", "bi_kept"]
     assert sorted((r.site_key, r.bi_gross, r.bi_kept) for r in out.collect()) == [(1, 16.0, 7.0), (1, 16.0, 7.0), (2, 8.0, 3.5)]
+
+
+def star_tables(spark, path):
+    """A few sites, centroids and storms; each event hits each centroid twice, and some rows have no quantity."""
+    write = lambda rows, cols, name: spark.createDataFrame(rows, cols).write.parquet(f"{path}/{name}.parquet")
+    write([(k, f"Customer#{k:09d}", k, 100.0 * k, "BUILDING") for k in (1, 2, 3, 4, 4)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", "customer")
+    write([(k, 10 * k) for k in (1, 2, 3)], "p_partkey long, p_size int", "part")
+    write([(k,) for k in range(20)], "o_orderkey long", "orders")
+    write([(e, c, q) for e in range(20) for c in (1, 2, 3) for q in (30.0 + e + c, 12.0, None)], "l_orderkey long, l_partkey long, l_quantity double", "lineitem")
+    return str(path)
+
+
+def test_events_out_of_reach_of_sites_are_left_out_before_the_first_shuffle(spark, tmp_path):
+    sf = star_tables(spark, tmp_path)
+    near = spark.createDataFrame([(2,), (None,)], "centroid_id long")
+    for rows in (standin.wind(spark, sf), standin.surge(spark, sf), standin.rain(spark, sf), standin.river(spark, sf)):
+        few = may_match(rows, "centroid_id", near)
+        plan = few._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate [") < plan.index("Join LeftSemi")  # the join is below
+        assert sorted(few.where("centroid_id = 2").collect()) == sorted(rows.where("centroid_id = 2").collect()) != []
+        assert few.where("centroid_id <> 2").count() == 0
+    assert {r.intensity for r in standin.wind(spark, sf).where("event_id = 4 and centroid_id = 1").collect()} == {35.0 * 1.5 + 20.0}
+
+
+def test_joint_losses_shuffle_no_rows_per_event_and_site(spark, tmp_path):
+    from checks import context
+    im = context.impact(spark, star_tables(spark, tmp_path))
+    rows = im.joint.collect()
+    by_site = im._joint_by_site(im.wind, im.surge, im._map(), im._map()).select(im.joint.columns)
+    key = lambda r: (r.source, r.event_id, r.site_key, r.country or "")
+    got, want = sorted(rows, key=key), sorted(by_site.collect(), key=key)
+    assert len(got) == len(want) > 0
+    for x, y in zip(got, want):
+        assert key(x) == key(y) and (x.freq, x.event_name) == (y.freq, y.event_name)
+        assert all(abs(x[c] - y[c]) <= 1e-9 * abs(y[c]) for c in ("wind_loss", "surge_loss", "loss"))
+    once = plan_of(im.joint).split("Union")[1]
+    assert "hashpartitioning(source" not in once.split("SortMergeJoin [centroid_id")[0]
