@@ -8,6 +8,7 @@ from perilframe import assumptions as A
 from perilframe.operators import adaptation as ad
 from perilframe.operators import finance as fo
 from perilframe.operators import claims, gates, losses, payoff, planning, sensitivity, tcor
+from perilframe.operators.lineage import written
 from perilframe.plans import impact as I
 from perilframe.plans import standin as S
 from perilframe.sources import sinks
@@ -67,16 +68,17 @@ def gate_pack(spark, sf):
 
 @register("gate_pack_findings")
 def gate_pack_findings(spark, sf):
-    """Pack rules over portfolio, curves, event sets and ladders."""
-    im = impact(spark, sf)
+    """Pack rules over portfolio, curves, event sets and ladders, of all scenarios and perils."""
+    im = impact(spark, sf, keep=True)
     e = im.site_ead
     port = e.groupBy("scenario").agg(F.sum("acute").alias("direct_aal"), *[F.sum(p).alias(p) for p in A.ACUTE])
     sums = e.groupBy("scenario").agg(F.sum("acute").alias("site_sum"))
     curves = im.curves().where("peril = 'acute'").select("scenario", "ladder")
     parts = losses.event_set_parts(im.joint, im.weights, im.sites)
     joint = im.storm_ead.groupBy("scenario").agg(F.sum("joint").alias("joint"))
-    out = gates.pack_findings(port, sums, curves).unionByName(gates.event_findings(events(spark, sf), parts, im.sites, joint))
-    return out.unionByName(gates.ladder_findings(im.ladders(("tc_joint", "prain")))).unionByName(gates.site_loss_findings(im.site_return_losses()))
+    out = gates.pack_findings(port, sums, curves).unionByName(gates.event_findings(im.event_site_loss(), parts, im.sites, joint))
+    ladders = written(im.ladders())  # both rules on ladders read them
+    return out.unionByName(gates.ladder_findings(ladders)).unionByName(gates.site_loss_findings(im.site_return_losses(ladders)))
 
 
 @register("registry_check", query("SELECT kind, count(*) AS entries, CAST(0 AS BIGINT) AS wrong FROM (SELECT unnest(['warming','sea_level']) AS kind, unnest([9,45]) AS n), LATERAL (SELECT unnest(range(n)) AS i), (SELECT count(*) AS c FROM region) WHERE c>0 GROUP BY 1"))

@@ -9,7 +9,7 @@ from perilframe import assumptions as A
 from perilframe.functions import curves
 from perilframe.functions import interruption as bi
 from perilframe.functions.common import may_match
-from perilframe.operators import adaptation, exceedance, grid, losses, matching, payoff, scoring, tcor
+from perilframe.operators import adaptation, exceedance, gates, grid, losses, matching, payoff, scoring, tcor
 from perilframe.plans import impact, standin
 
 
@@ -184,6 +184,27 @@ def star_tables(spark, path):
     return str(path)
 
 
+def test_pack_gate_reads_all_scenarios_and_perils(spark, tmp_path, monkeypatch):
+    from checks import q_more
+    seen = {}
+    events, ladders = gates.event_findings, gates.ladder_findings
+    monkeypatch.setattr(gates, "event_findings", lambda ev, *a: seen.update(ev=ev) or events(ev, *a))
+    monkeypatch.setattr(gates, "ladder_findings", lambda lad, *a: seen.update(lad=lad) or ladders(lad, *a))
+    q_more.gate_pack_findings(spark, star_tables(spark, tmp_path))
+    assert {r.scenario for r in seen["ev"].select("scenario").distinct().collect()} == set(A.SCENARIOS)
+    assert {r.peril for r in seen["lad"].select("peril").distinct().collect()} == {"tc", "cflood", "tc_joint", "rflood", "prain", "wfire"}
+
+
+def test_event_rules_of_one_table_share_a_pass_and_find_the_same(spark):
+    ev = spark.createDataFrame([("present", "USA", "present", "a", 1, 0.1, 1, 5e4), ("present", "USA", "present", "a", 1, 0.1, 1, 5e4), ("present", "USA", "present", "b", 2, 0.0, 9, 5.0),
+                                ("present", "USA", "present", "b", 3, 0.1, None, 5e4)], "scenario string, country string, source string, event string, event_id long, freq double, site_key long, loss_usd double")
+    parts = spark.createDataFrame([("present", "USA", "present", 1.0, 100.0, 50.0)], "scenario string, country string, source string, weight double, aal_usd double, kept_aal_usd double")
+    sites = spark.createDataFrame([(1,), (1,), (2,)], "site_key long")
+    out = gates.event_findings(ev, parts, sites, spark.createDataFrame([("present", 100.0)], "scenario string, joint double"))
+    assert {(r["check"], r.value) for r in out.collect()} == {("event_frequency", 1.0), ("event_floor", 1.0), ("event_site", 2.0), ("event_duplicate", 1.0), ("event_name", 1.0), ("floor_dropped", 0.5)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("_known") < 12
+
+
 def test_events_out_of_reach_of_sites_are_left_out_before_the_first_shuffle(spark, tmp_path):
     sf = star_tables(spark, tmp_path)
     near = spark.createDataFrame([(2,), (None,)], "centroid_id long")
