@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from perilframe import assumptions as A
 from perilframe.functions import geo
 from perilframe.operators import gates, grid, keyed, scoring
+from perilframe.operators.lineage import written
 from perilframe.operators.spatial import near_any_site
 from perilframe.plans import standin as S
 
@@ -105,7 +106,7 @@ def river_ensemble_grid(spark, sf):
 
 def two_files(spark, sf):
     """Wind grid twice: a first file with every cell, a second that replaces every other source."""
-    a = wind_grid(spark, sf)
+    a = written(wind_grid(spark, sf))  # both files are read from one grid
     return a, a.where(F.col("source").isin("present", "rcp26_2040")).select("source", "ix", "iy", *[(F.col(c) + 1.0).alias(c) for c in V])
 
 

@@ -29,7 +29,7 @@ def centroid_intensity(intensity: DataFrame, catalog: DataFrame, centroids: Data
     keys = ["source"]
     rows = (intensity.join(by_shuffle(catalog.select(*keys, "event_id", "freq")), [*keys, "event_id"])
             .withColumn("loss", F.coalesce(finite_or_null(F.col("intensity")), F.lit(0.0))))
-    points = exceedance.loss_points(rows, [*keys, "centroid_id"])
+    points = exceedance.loss_points(rows, [*keys, "centroid_id"], bounded=True)
     ladders = exceedance.interpolated_ladder(points, [*keys, "centroid_id"])
     every = F.explode(F.array(*[F.lit(x) for x in A.SOURCES])).alias("source")
     universe = (centroids.select(every, "centroid_id", "lat", "lon")

@@ -230,3 +230,16 @@ def test_joint_losses_shuffle_no_rows_per_event_and_site(spark, tmp_path):
         assert all(abs(x[c] - y[c]) <= 1e-9 * abs(y[c]) for c in ("wind_loss", "surge_loss", "loss"))
     once = plan_of(im.joint).split("Union")[1]
     assert "hashpartitioning(source" not in once.split("SortMergeJoin [centroid_id")[0]
+
+
+def test_curves_of_one_centroid_take_one_shuffle_and_equal_those_in_buckets(spark):
+    rows = [(k, float((e * 37 + k) % 23) * 1.5, 0.01 + e % 5 * 0.003, e) for k in (1, 2, 3) for e in range(60)] + [(4, None, 0.1, 1), (5, 3.0, 0.0, 1), (None, 2.0, 0.2, 1)]
+    df = spark.createDataFrame(rows, "k long, loss double, freq double, event_id long")
+    one, many = exceedance.loss_points(df, ["k"], bounded=True), exceedance.loss_points(df, ["k"])
+    assert plan_of(one).count("Exchange hashpartitioning") == 1 < plan_of(many).count("Exchange hashpartitioning")
+    found = {(r.k, r.loss): r for r in one.collect()}
+    want = many.collect()
+    assert len(found) == len(want) == 22 * 3
+    for r in want:
+        x = found[r.k, r.loss]
+        assert x.above == r.above and all(abs(x[c] - r[c]) < 1e-12 for c in ("cum_before", "cum_first", "cum_last"))
